@@ -1,0 +1 @@
+"""sparkloom: Spark-native preparation of language-model training text."""
