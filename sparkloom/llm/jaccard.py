@@ -57,7 +57,7 @@ class Similarity:
     width: int = 4
     combination: int = 2
     frequent: int = 24
-    table: int = 1 << 19
+    table: int = 1 << 20
     rounds: int = 2
 
     def least(self, n: int) -> int:
@@ -123,8 +123,7 @@ def keys_of(tokens: np.ndarray, frequent: np.ndarray, how: Similarity) -> tuple[
         return tokens, 0
     if not len(frequent):
         return _folded([tokens[: how.prefix(n)]]) & ~one, 0
-    at = np.searchsorted(frequent, tokens >> np.uint64(20))
-    often = frequent[np.minimum(at, len(frequent) - 1)] == tokens >> np.uint64(20)
+    often = _often(tokens, frequent)
     rare, common = tokens[~often][: how.prefix(n)], tokens[often]
     keys = _folded([rare]) & ~one
     if len(common) >= how.least(n) and len(common) >= how.combination:
@@ -141,14 +140,23 @@ def _texts(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[lis
             yield tuple(columns_of(batch.slice(k, 1000), *names))
 
 
-def _frequent(docs: DataFrame, how: Similarity) -> np.ndarray:
-    """The most frequent tokens (their upper 44 bits), counted over all documents in prefixes twice as long."""
+def _often(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Which tokens are in the table, which has their upper 44 bits."""
+    if not len(frequent):
+        return np.zeros(len(tokens), bool)
+    upper = tokens >> np.uint64(20)
+    return frequent[np.minimum(np.searchsorted(frequent, upper), len(frequent) - 1)] == upper
+
+
+def _counted(docs: DataFrame, how: Similarity, pick) -> np.ndarray:
+    """The tokens that more documents than how.frequent have, of those that pick() takes from each set; the
+    most frequent, if there are too many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (texts,) in _texts(batches, "text"):
-            zones = [t[: 2 * how.prefix(len(t))] for t in token_sets(texts, how.width) if len(t)]
-            if zones:
-                yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(zones) >> np.uint64(20)).astype(np.int64))], names=["token"])
+            some = [pick(t) for t in token_sets(texts, how.width) if len(t)]
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(some) >> np.uint64(20)).astype(np.int64))], names=["token"])
 
     counts = docs.select("text").mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") > how.frequent)
     counts = written(counts, "frequent-tokens")
@@ -159,10 +167,23 @@ def _frequent(docs: DataFrame, how: Similarity) -> np.ndarray:
     return np.sort(counts.select("token").toArrow().column("token").to_numpy().astype(np.uint64))
 
 
+def _frequent(docs: DataFrame, how: Similarity) -> np.ndarray:
+    """The most frequent tokens, counted over all documents: in prefixes twice as long, then, of documents that
+    are still short of rare tokens there, in all that follows."""
+    zone = lambda t: 2 * how.prefix(len(t))
+    first = _counted(docs, how, lambda t: t[: zone(t)])
+    if not len(first):
+        return first
+    shared = docs.sparkSession.sparkContext.broadcast(first)
+    short = lambda t: (~_often(t[: zone(t)], shared.value)).sum() < how.prefix(len(t))
+    second = _counted(docs, how, lambda t: t[zone(t) :] if short(t) else t[:0])
+    return np.unique(np.concatenate([first, second]))
+
+
 def _classes(docs: DataFrame, how: Similarity) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n_shingles, mark) and classes of equal sets (node, mark, doc_id: the smallest, n, frequent:
     tokens that are, keys)."""
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, how))  # how.table numbers at most
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, how))  # twice how.table numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _texts(batches, "doc_id", "text"):
