@@ -5,20 +5,59 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkloom.llm.common import written
+from sparkloom.llm.jaccard import Similarity, linked
+from sparkloom.llm.langid import UNKNOWN, identify
+from sparkloom.llm.lines import drop_lines
+from sparkloom.llm.packing import pack
 from sparkloom.llm.quality import quality
+from sparkloom.llm.queries import tokenizer_file
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose ids are in kept; ids are broadcast if they are few."""
+    ids = written(kept.select("doc_id").distinct(), "kept-ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= 500_000 else ids, "doc_id", "left_semi")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    kept = quality(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return _only(docs, quality(docs).where("kept"))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language, which has more than half of the probability."""
+    found = identify(docs, tokenizer_file("piece_bpe_32k.model"))
+    return _only(docs, found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0.5)))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that an earlier one has within an edit; n_chars follows the text."""
+    return drop_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component: shingles of five words, a similarity of 0.8."""
+    found = linked(docs, Similarity(percent=80, width=5))
+    return _only(docs, found.where("doc_id = component_id"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences."""
+    return pack(docs, tokenizer_file())
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("packing", packing),
+]
 
 #: Two stages need a model and a tokenizer, which SQL can't express.
 ORACLE_SQL = None
