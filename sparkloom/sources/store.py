@@ -99,7 +99,12 @@ def write_json(spark: SparkSession, path: str, value: dict[str, Any]) -> None:
 
 
 def read_json(spark: SparkSession, path: str) -> dict[str, Any]:
-    return json.loads("\n".join(r[0] for r in spark.read.text(path).collect()))  # a small file
+    fs, at, _ = _fs(spark, path)
+    stream = fs.open(at)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def cached(spark: SparkSession, path: str, key: dict[str, Any], make: Callable[[], DataFrame]) -> DataFrame:
