@@ -41,7 +41,7 @@ def _before(df: DataFrame, value: str, key: str, parts: int) -> DataFrame:
     return df.withColumn("__inside", inside).join(starts, "__part").withColumn("__before", F.col("__start") + F.col("__inside")).drop("__part", "__inside", "__start")
 
 
-def byte_budget(df: DataFrame, text: str, ids: list[str], target: int, seed: int = 42, min_chars: int = 0, max_chars: int | None = None, separator_bytes: int = 1, parts: int = 16) -> DataFrame:
+def byte_budget(df: DataFrame, text: str, ids: list[str], target: int, seed: int = 42, min_chars: int = 0, max_chars: int | None = None, separator_bytes: int = 1, parts: int = 4096) -> DataFrame:
     """Records in random order until their bytes reach target, the one that crosses it included: those of
     min_chars at least, cut to max_chars, a separator before each but the first."""
     long = df.where(F.char_length(text) >= min_chars)
@@ -53,7 +53,7 @@ def byte_budget(df: DataFrame, text: str, ids: list[str], target: int, seed: int
     return ranked.where((F.col("__before") == 0) | (F.col("__before") - separator_bytes < target)).drop("__key", "__size", "__before")
 
 
-def exact_split(df: DataFrame, ids: list[str], n_validation: int, seed: int = 42, parts: int = 16) -> DataFrame:
+def exact_split(df: DataFrame, ids: list[str], n_validation: int, seed: int = 42, parts: int = 4096) -> DataFrame:
     """df with split: exactly n_validation rows are `val`, the first in random order."""
     key = F.concat(draw(seed, *map(F.col, ids)), F.lit(":"), F.concat_ws(":", *ids))
     ranked = _before(df.withColumn("__key", key).withColumn("__one", F.lit(1)), "__one", "__key", parts)
@@ -82,4 +82,6 @@ def locate(indices: DataFrame, sizes: DataFrame) -> DataFrame:
     """Global row indices (column index) as source and local index; sizes: source, ordinal, n, a row a source."""
     before = F.coalesce(F.sum("n").over(Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = sizes.select("source", before.alias("start"), (before + F.col("n")).alias("end"))
-    return indices.join(F.broadcast(ranges), (F.col("index") >= F.col("start")) & (F.col("index") < F.col("end"))).select("index", "source", (F.col("index") - F.col("start")).alias("local_index"))
+    if sizes.count() <= 100_000:
+        ranges = F.broadcast(ranges)
+    return indices.join(ranges, (F.col("index") >= F.col("start")) & (F.col("index") < F.col("end"))).select("index", "source", (F.col("index") - F.col("start")).alias("local_index"))
