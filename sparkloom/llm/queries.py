@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact, lines, warc
+from . import exact, lines, quality_sql, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +72,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
-    return quality(table(spark, sf_dir, "documents"))
+    found = quality(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -87,4 +89,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": exact.ORACLE, "op5_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": exact.ORACLE, "op5_warc": warc.ORACLE, "op10_quality_rules": quality_sql.ORACLE}
