@@ -350,3 +350,9 @@ def test_pipeline(spark, sf_dir):
             docs = corpus_pipeline.written(docs, "test")
             before = docs.count()
     assert docs.select("doc_id").distinct().count() == before
+
+
+def test_quality_is_the_sql(spark, sf_dir):
+    from compare import connect, differences
+
+    assert differences(queries.op10_quality_rules(spark, sf_dir), connect(sf_dir), queries.ORACLE_SQL["op10_quality_rules"]) == []
