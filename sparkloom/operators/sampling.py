@@ -85,3 +85,14 @@ def locate(indices: DataFrame, sizes: DataFrame) -> DataFrame:
     if sizes.count() <= 100_000:
         ranges = F.broadcast(ranges)
     return indices.join(ranges, (F.col("index") >= F.col("start")) & (F.col("index") < F.col("end"))).select("index", "source", (F.col("index") - F.col("start")).alias("local_index"))
+
+
+def with_following(df: DataFrame, value: str, order: list[str], name: str, width: int = 10_000) -> DataFrame:
+    """df with the value of the next row in order under name. Rows are looked at in ranges of the first (whole
+    number) column of the order; a range's last row takes the first of the next range that has rows."""
+    df = df.withColumn("__range", F.floor(F.col(order[0]) / width))
+    inside = F.lead(F.struct(F.col(value).alias("v"))).over(Window.partitionBy("__range").orderBy(*order))
+    firsts = df.groupBy("__range").agg(F.min_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__first"))
+    firsts = firsts.select(F.lag("__range").over(Window.orderBy("__range")).alias("__range"), "__first").where("__range IS NOT NULL")
+    joined = df.withColumn("__next", inside).join(firsts, "__range", "left")
+    return joined.withColumn(name, F.coalesce("__next", "__first")["v"]).drop("__range", "__next", "__first")

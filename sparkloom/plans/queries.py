@@ -344,10 +344,7 @@ h AS (SELECT *, CASE WHEN lower(coalesce({_strip('system')}, '')) IN ('', 'none'
 
 @query(f"WITH {PREFERENCE} SELECT conv_id, turn, head || {_strip('answer')} || '<|im_end|>' || chr(10) AS chosen, head || {_strip('rejected')} || '<|im_end|>' || chr(10) AS rejected FROM h WHERE {_strip('rejected')} IS NOT NULL AND {_strip('answer')} IS NOT NULL")
 def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = _pairs(spark, sf_dir)
-    rows = rows.withColumn("rejected", F.lead("answer").over(Window.orderBy("conv_id", "turn"))).withColumnRenamed("answer", "chosen")
+    rows = sampling.with_following(_pairs(spark, sf_dir), "answer", ["conv_id", "turn"], "rejected", 100).withColumnRenamed("answer", "chosen")
     chosen, rejected = chat.preference_messages(rows)
     both = rows.select("conv_id", "turn", chosen.alias("chosen"), rejected.alias("rejected")).where("chosen IS NOT NULL AND rejected IS NOT NULL")
     return both.select("conv_id", "turn", chat.render(F.col("chosen")).alias("chosen"), chat.render(F.col("rejected")).alias("rejected"))
