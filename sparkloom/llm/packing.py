@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import load
+from .bpe import RankBpe, load
 from .common import columns_of, written
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -83,7 +83,7 @@ def pieces(docs: DataFrame, file: str, size: int, end: int) -> DataFrame:
     """Each document's ids and the end token, cut into full sequences and a rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, last = load(file), int(end).to_bytes(4, "little")
+        bpe, last = load(file, RankBpe), int(end).to_bytes(4, "little")
         for batch in batches:
             doc_ids, texts = columns_of(batch, "doc_id", "text")
             for k in range(0, len(texts), 1000):
