@@ -54,3 +54,15 @@ def columns_of(batch, *names: str) -> Iterator[list]:
     """The named columns of an Arrow batch as Python lists."""
     for name in names:
         yield batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
+def slices(texts: list[str | None], chars: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that have about so many characters together; a longer text is one by itself."""
+    start, held = 0, 0
+    for k, t in enumerate(texts):
+        if k > start and held + len(t or "") > chars:
+            yield start, k
+            start, held = k, 0
+        held += len(t or "")
+    if start < len(texts):
+        yield start, len(texts)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, held_out
+from .common import columns_of, held_out, slices
 
 UNKNOWN = "und"
 #: Longer words are cut into stretches of so many characters, so that no product underflows.
@@ -237,8 +237,8 @@ def identify(docs: DataFrame, file: str, how: Learning = Learning()) -> DataFram
         scorer = _scorers[key]
         for batch in batches:
             ids, held, texts = columns_of(batch, "doc_id", "held_out", "text")
-            for k in range(0, len(texts), 1000):
-                part = texts[k : k + 1000]
+            for start, end in slices(texts):
+                part = texts[start:end]
                 letters = np.array([bool(t) and any(map(str.isalpha, t)) for t in part], bool)
                 names, scores = np.full(len(part), UNKNOWN, object), np.zeros(len(part))
                 if languages:
@@ -247,7 +247,7 @@ def identify(docs: DataFrame, file: str, how: Learning = Learning()) -> DataFram
                     share = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
                     names[letters] = np.array(languages, object)[best[letters]]
                     scores[letters] = share[letters]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 1000], pa.int64()), pa.array(held[k : k + 1000], pa.bool_()), pa.array(names.tolist(), pa.string()), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[start:end], pa.int64()), pa.array(held[start:end], pa.bool_()), pa.array(names.tolist(), pa.string()), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select("doc_id", held_out(F.col("doc_id"), how.folds, how.fold).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
