@@ -29,7 +29,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -39,8 +38,8 @@ from .common import columns_of, remove, written
 from .components import components
 from .lm import expanded, squeezed
 
-#: Words whose hashes a worker keeps at most.
-KEPT = 600_000
+#: Bytes of text that are hashed together, about.
+GATHERED = 4 << 20
 #: Tables of keys are broadcast up to this size, and joined by a shuffle beyond it.
 BROADCAST_BYTES = 32 << 20
 #: Members that are held against a hub in one group.
@@ -74,9 +73,6 @@ class Similarity:
         return n - self.least(n) + (self.combination - 1) * apart + self.combination
 
 
-_word_hashes: dict[bytes, int] = {}
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -93,24 +89,60 @@ def _folded(parts: list[np.ndarray]) -> np.ndarray:
     return _mixed(x)
 
 
-def token_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
-    """The sorted distinct hashed shingles of each text."""
-    known = _word_hashes
-    split = [t.encode().lower().split() if t else [] for t in texts]
-    if len(known) > KEPT:
-        known.clear()
-    for w in {w for ws in split for w in ws}.difference(known):
-        known[w] = xxhash.xxh3_64_intdigest(w)
-    out = []
-    for ws in split:
-        h = np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
-        if len(h) >= width:
-            out.append(np.unique(_folded([h[k : len(h) - width + 1 + k] for k in range(width)])))
-        else:
-            out.append(_folded([h[k : k + 1] for k in range(len(h))]) if len(h) else h)
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64))
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of lower-case text starts, and its hash: a polynomial in its bytes, one place of all words
+    at a time, the longest first."""
+    buf = np.frombuffer(data, np.uint8)
+    word = np.concatenate([[False], ~((buf == 32) | ((buf >= 9) & (buf <= 13))), [False]])
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    order = np.argsort(-sizes, kind="stable")
+    at, left = starts[order], -sizes[order]
+    hashes = np.zeros(len(starts), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(int(sizes.max(initial=0))):
+            m = int(np.searchsorted(left, -k))
+            hashes[:m] = hashes[:m] * _BASE + _BYTES[buf[at[:m] + k]]
+    out = np.empty_like(hashes)
+    out[order] = hashes
+    return starts, out
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def _sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    starts, words = word_hashes(b"\n".join(texts))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    cut = np.searchsorted(starts, ends)
+    grams = _folded([words[k : len(words) - width + 1 + k] for k in range(width)]) if len(words) >= width else words[:0]
+    out, a = [], 0
+    for b in cut.tolist():
+        out.append(_distinct(grams[a : b - width + 1]) if b - a >= width else _folded([words[k : k + 1] for k in range(a, b)]) if b > a else words[:0])
+        a = b
     return out
 
 
+def token_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """The sorted distinct hashed shingles of each text, worked out for some megabytes at a time."""
+    out: list[np.ndarray] = []
+    group: list[bytes] = []
+    held = 0
+    for t in texts:
+        group.append((t or "").encode().lower())
+        held += len(group[-1])
+        if held > GATHERED:
+            out += _sets(group, width)
+            group, held = [], 0
+    return out + (_sets(group, width) if group else [])
+
+
 def mark(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
@@ -134,10 +166,10 @@ def keys_of(tokens: np.ndarray, frequent: np.ndarray, how: Similarity) -> tuple[
 
 
 def _texts(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:
-    """Columns of at most 1000 rows at a time."""
+    """Columns of at most 250 rows at a time."""
     for batch in batches:
-        for k in range(0, batch.num_rows, 1000):
-            yield tuple(columns_of(batch.slice(k, 1000), *names))
+        for k in range(0, batch.num_rows, 250):
+            yield tuple(columns_of(batch.slice(k, 250), *names))
 
 
 def _often(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -218,29 +250,46 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, how: Simila
     texts = docs.select("doc_id", "text").join(_small(need, 128), F.col("doc_id") == F.col("of_doc")).select("node", "mark", "groups", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["a", "part", "hub", "node", "tokens"])
+
         for nodes, marks, groups, texts in _texts(batches, "node", "mark", "groups", "text"):
-            rows: tuple[list, ...] = ([], [], [], [], [])
+            rows, held = [], 0
             for node, m, gs, s in zip(nodes, marks, groups, token_sets(texts, how.width), strict=True):
-                if mark(s) == m:  # else another row of the same id
-                    data = squeezed(s)
-                    for g in gs:
-                        for column, x in zip(rows, (g["a"], g["part"], g["hub"], node, data), strict=True):
-                            column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], names=["a", "part", "hub", "node", "tokens"])
-
-    def similar(rows: pd.DataFrame) -> pd.DataFrame:
-        hub = expanded(rows.loc[rows["hub"], "tokens"].iloc[0], np.uint64)
-        members = rows.loc[~rows["hub"]].drop_duplicates("node")
-        sets = [expanded(x, np.uint64) for x in members["tokens"]]
-        size = np.array([len(x) for x in sets], np.int64)
-        flat = np.concatenate(sets)
-        hit = hub[np.minimum(np.searchsorted(hub, flat), len(hub) - 1)] == flat
-        both = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
-        found = members["node"].to_numpy()[100 * both >= how.percent * (len(hub) + size - both)]
-        return pd.DataFrame({"u": pd.Series([rows["a"].iloc[0]] * len(found), dtype="int64"), "v": pd.Series(found, dtype="int64")})
+                if mark(s) != m:
+                    continue  # another row of the same id
+                data = squeezed(s)
+                for g in gs:
+                    rows.append((g["a"], g["part"], g["hub"], node, data))
+                    held += len(data)
+                    if held > GATHERED:
+                        yield out(rows)
+                        rows, held = [], 0
+            if rows:
+                yield out(rows)
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, hub = None, None  # a group's rows follow each other, the hub's first
+        for rows in _texts(batches, "a", "part", "hub", "node", "tokens"):
+            found: tuple[list, list] = ([], [])
+            for a, part, is_hub, node, data in zip(*rows, strict=True):
+                tokens = expanded(data, np.uint64)
+                if is_hub:
+                    group, hub = (a, part), tokens
+                    continue
+                if group != (a, part):
+                    raise ValueError(f"the hub {a} is missing")
+                both = int(np.count_nonzero(hub[np.minimum(np.searchsorted(hub, tokens), len(hub) - 1)] == tokens))
+                if 100 * both >= how.percent * (len(hub) + len(tokens) - both):
+                    found[0].append(a)
+                    found[1].append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["u", "v"])
 
     met = texts.mapInArrow(sets, "a long, part long, hub boolean, node long, tokens binary")
-    return written(met.groupBy("a", "part").applyInPandas(similar, "u long, v long"), "jaccard-links")
+    dealt = met.repartition("a", "part").sortWithinPartitions("a", "part", F.col("hub").desc())
+    return written(dealt.mapInArrow(similar, "u long, v long").distinct(), "jaccard-links")
 
 
 def linked(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
