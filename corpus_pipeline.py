@@ -1,4 +1,10 @@
-"""From raw documents to packed sequences: the stages, each a function of (spark, docs, sf_dir)."""
+"""From raw documents to packed sequences: the stages, each a function of (spark, docs, sf_dir).
+
+Defined cases: stages decide on rows, not on ids. A row with a null doc_id is
+judged as any other, and rows that share a doc_id are judged one by one. Ids
+only order rows where one of several stays. A row whose lines all went has an
+empty text, is near no other row, and stays.
+"""
 
 from __future__ import annotations
 
@@ -17,33 +23,53 @@ from sparkloom.llm.queries import tokenizer_file
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: The column of row numbers; run() writes it once, a stage by itself numbers its rows and drops it.
+ROW = "__row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a written row number, unless they have one."""
+    return docs if ROW in docs.columns else written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    """Numbered rows with their number as id."""
+    return rows.withColumn("doc_id", F.col(ROW))
+
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose ids are in kept; ids are broadcast if they are few."""
-    ids = written(kept.select("doc_id").distinct(), "kept-ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= 500_000 else ids, "doc_id", "left_semi")
+def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows whose numbers are in kept's doc_id; numbers are broadcast if they are few."""
+    numbers = written(kept.select(F.col("doc_id").alias(ROW)), "kept-rows")
+    return rows.join(F.broadcast(numbers) if numbers.count() <= 500_000 else numbers, ROW, "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return _only(docs, quality(docs).where("kept"))
+    rows = _numbered(docs)
+    return _only(rows, quality(_by_row(rows)).where("kept")).select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language, which has more than half of the probability."""
-    found = identify(docs, tokenizer_file("piece_bpe_32k.model"))
-    return _only(docs, found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0.5)))
+    rows = _numbered(docs)
+    named = rows.withColumn("doc_id", F.coalesce("doc_id", ROW))  # rows without an id are learnt from, too
+    found = identify(named, tokenizer_file("piece_bpe_32k.model"), row=ROW)
+    return _only(rows, found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0.5))).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that an earlier one has within an edit; n_chars follows the text."""
-    return drop_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return drop_lines(_numbered(docs), row=ROW).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component: shingles of five words, a similarity of 0.8."""
-    found = linked(docs, Similarity(percent=80, width=5))
-    return _only(docs, found.where("doc_id = component_id"))
+    """One row of each component, that with the smallest id (null ids last, then by row number): shingles of
+    five words, a similarity of 0.8."""
+    rows = _numbered(docs)
+    found = linked(_by_row(rows), Similarity(percent=80, width=5)).select(F.col("doc_id").alias(ROW), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", ROW)
+    first = found.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(order).alias("first"))
+    return _only(rows, first.select(F.col("first")[ROW].alias("doc_id"))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +91,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each on what its predecessor kept."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _numbered(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

@@ -220,10 +220,10 @@ def _sample(docs: DataFrame, how: Learning) -> dict[str, Counter]:
 _scorers: dict[str, Scorer] = {}
 
 
-def identify(docs: DataFrame, file: str, how: Learning = Learning()) -> DataFrame:
+def identify(docs: DataFrame, file: str, how: Learning = Learning(), row: str = "doc_id") -> DataFrame:
     """A row per document: doc_id, held_out, lang_pred, score (the language's share of the probability).
 
-    file: a sentencepiece model. Languages, ids and sources are not looked at when predicting."""
+    file: a sentencepiece model. row: the column (of longs) that is returned as doc_id. Languages, ids and sources are not looked at when predicting."""
     samples = _sample(docs, how)
     pieces = vocabulary(file)
     languages = list(samples)
@@ -249,5 +249,5 @@ def identify(docs: DataFrame, file: str, how: Learning = Learning()) -> DataFram
                     scores[letters] = share[letters]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[start:end], pa.int64()), pa.array(held[start:end], pa.bool_()), pa.array(names.tolist(), pa.string()), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select("doc_id", held_out(F.col("doc_id"), how.folds, how.fold).alias("held_out"), "text")
+    rows = docs.select(F.col(row).alias("doc_id"), held_out(F.col("doc_id"), how.folds, how.fold).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -16,7 +16,9 @@ where lines share all but one part, variants are made for that part.
 Defined cases: a null or empty text has no lines; lines shorter than
 min_chars (white space at both ends left out) always stay; a null doc_id
 comes after all others; rows that repeat an id and a line at the same number
-are the same line and stay or go together; an empty table gives no row; other
+are the same line and stay or go together, unless row names a column that
+numbers the rows: it comes after doc_id in the order, and each row's lines are
+its own; an empty table gives no row; other
 columns stay as they are in drop_lines() and are ignored in line_report().
 """
 
@@ -37,10 +39,11 @@ def _split(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def _lines(docs: DataFrame, min_chars: int, row: str | None) -> DataFrame:
     """Lines that may go: at (their place in the order), line, id."""
-    each = docs.select("doc_id", F.posexplode(_split(F.col("text"))).alias("no", "line"))
-    each = each.select(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "no").alias("at"), F.btrim("line", F.lit(BLANK)).alias("line"))
+    ids = ["doc_id", row] if row else ["doc_id"]
+    each = docs.select(*ids, F.posexplode(_split(F.col("text"))).alias("no", "line"))
+    each = each.select(F.struct(F.col("doc_id").isNull().alias("late"), *ids, "no").alias("at"), F.btrim("line", F.lit(BLANK)).alias("line"))
     return each.where(F.length("line") >= min_chars).select("at", "line", F.unhex(F.md5(F.encode("line", "UTF-8"))).alias("id"))
 
 
@@ -86,10 +89,10 @@ def _within_one_edit(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b, 1) >= 0
 
 
-def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Distinct lines that stay (at: their first place) and those that go though they differ from all before
     (at, id, and earlier: a line alike)."""
-    lines = _lines(docs, min_chars)
+    lines = _lines(docs, min_chars, row)
     first = lines.groupBy("id").agg(F.min(F.struct("at", _halves(F.col("line")).alias("halves"))).alias("first"))
     distinct = written(first.select("id", "first.at", "first.halves"), "lines")
     halves = distinct.select("id", F.explode("halves").alias("key"))
@@ -112,9 +115,9 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFr
     return distinct.join(gone.select("id"), "id", "left_anti").select("at"), gone
 
 
-def _kept(docs: DataFrame, min_chars: int) -> DataFrame:
-    stay, _ = duplicate_lines(docs, min_chars)
-    return stay.groupBy(F.col("at.doc_id").alias("id_of")).agg(F.sort_array(F.collect_list("at.no")).alias("firsts"))
+def _kept(docs: DataFrame, min_chars: int, row: str | None = None) -> DataFrame:
+    stay, _ = duplicate_lines(docs, min_chars, row)
+    return stay.groupBy(F.col("at")[row or "doc_id"].alias("id_of")).agg(F.sort_array(F.collect_list("at.no")).alias("firsts"))
 
 
 def line_report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -127,11 +130,11 @@ def line_report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return joined.select("doc_id", "n_lines", "n_long", F.coalesce("firsts", F.array().cast("array<int>")).alias("kept_lines"))
 
 
-def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, row: str | None = None) -> DataFrame:
     """docs without the lines that go; a document all of whose lines go has an empty text, and a null text
     stays null."""
-    kept = _kept(docs, min_chars).withColumnsRenamed({"id_of": "__id_of", "firsts": "__firsts"})
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id_of")), "left")
+    kept = _kept(docs, min_chars, row).withColumnsRenamed({"id_of": "__id_of", "firsts": "__firsts"})
+    joined = docs.join(kept, docs[row or "doc_id"].eqNullSafe(F.col("__id_of")), "left")
     stays = lambda line, no: (F.length(F.btrim(line, F.lit(BLANK))) < min_chars) | F.coalesce(F.array_contains("__firsts", no), F.lit(False))
     text = F.when(docs["text"].isNotNull(), F.array_join(F.filter(_split(docs["text"]), stays), "\n"))
     return joined.withColumn("text", text).select(*docs.columns)
