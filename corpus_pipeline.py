@@ -58,8 +58,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier one has within an edit; n_chars follows the text."""
-    return drop_lines(_numbered(docs), row=ROW).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """All documents, without lines that an earlier one has within an edit (short ones: exactly); n_chars follows the text."""
+    return drop_lines(_numbered(docs), row=ROW, exact_chars=1).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,8 +13,14 @@ falls within one half of a line, so the other half must be shared: lines that
 share no half are set aside. The rest are cut into about sqrt(length) parts;
 where lines share all but one part, variants are made for that part.
 
+That is for one edit (edits=1). Of no edit, equal lines are grouped by their
+md5; of more, a line is cut into edits + 1 parts, one of which must be found in
+a line alike, shifted by edits at most, and all pairs that share one are measured.
+
 Defined cases: a null or empty text has no lines; lines shorter than
-min_chars (white space at both ends left out) always stay; a null doc_id
+min_chars (white space at both ends left out) go if an earlier one is equal
+and they have exact_chars characters or more, and else always stay (all of
+them do where exact_chars is None); a null doc_id
 comes after all others; rows that repeat an id and a line at the same number
 are the same line and stay or go together, unless row names a column that
 numbers the rows: it comes after doc_id in the order, and each row's lines are
@@ -39,6 +45,11 @@ def _split(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def _least(min_chars: int, exact_chars: int | None) -> int:
+    """The length from which lines may go."""
+    return min_chars if exact_chars is None else min(min_chars, exact_chars)
+
+
 def _lines(docs: DataFrame, min_chars: int, row: str | None) -> DataFrame:
     """Lines that may go: at (their place in the order), line, id."""
     ids = ["doc_id", row] if row else ["doc_id"]
@@ -85,16 +96,35 @@ def _variants(parted: DataFrame) -> DataFrame:
     return parted.select(F.explode(made).alias("variant"), "role", "id", "at")
 
 
-def _within_one_edit(a: Column, b: Column) -> Column:
-    return F.levenshtein(a, b, 1) >= 0
+def _within(a: Column, b: Column, edits: int) -> Column:
+    return F.levenshtein(a, b, edits) >= 0
+
 
+def _pairs_by_part(lines: DataFrame, edits: int) -> DataFrame:
+    """Pairs of lines that share one of edits + 1 parts of the earlier: id, at, earlier_id."""
+    n, around = F.length("line"), F.sequence(F.lit(-edits), F.lit(edits))
+    edge = lambda size, k: F.floor(k.cast("long") * size / (edits + 1)).cast("int")
+    key = lambda size, k, start: F.xxhash64(size, k, F.substring("line", start + 1, edge(size, k + 1) - edge(size, k))).alias("key")
+    each = lines.select("id", "at", "line", F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("k"))
+    parts = each.select(F.col("id").alias("earlier_id"), F.col("at").alias("earlier_at"), key(n, F.col("k"), edge(n, F.col("k"))))
+    others = each.withColumn("size", F.explode(F.filter(F.transform(around, lambda x: n + x), lambda x: x > 0)))
+    others = others.withColumn("start", F.explode(F.transform(around, lambda x: edge(F.col("size"), F.col("k")) + x))).where((F.col("start") >= 0) & (F.col("start") <= n))
+    others = others.select("id", "at", key(F.col("size"), F.col("k"), F.col("start")))
+    return others.join(parts, "key").where(F.col("earlier_at") < F.col("at")).select("id", "at", "earlier_id").distinct()
 
-def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, row: str | None = None) -> tuple[DataFrame, DataFrame]:
+
+def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, row: str | None = None, exact_chars: int | None = None, edits: int = 1) -> tuple[DataFrame, DataFrame]:
     """Distinct lines that stay (at: their first place) and those that go though they differ from all before
     (at, id, and earlier: a line alike)."""
-    lines = _lines(docs, min_chars, row)
-    first = lines.groupBy("id").agg(F.min(F.struct("at", _halves(F.col("line")).alias("halves"))).alias("first"))
+    lines = _lines(docs, _least(min_chars, exact_chars), row)
+    # lines without halves are settled by equality alone
+    halves = F.when(F.length("line") >= min_chars if edits else F.lit(False), _halves(F.col("line"))).otherwise(F.array().cast("array<bigint>"))
+    first = lines.groupBy("id").agg(F.min(F.struct("at", halves.alias("halves"))).alias("first"))
     distinct = written(first.select("id", "first.at", "first.halves"), "lines")
+    if edits > 1:
+        firsts = distinct.where(F.size("halves") > 0).select("id", F.col("at").alias("first_at"))
+        texts = written(lines.join(firsts, "id").where(F.col("at") == F.col("first_at")).select("id", "at", "line"), "line-texts")
+        return _settled(distinct, texts, _pairs_by_part(texts, edits), edits)
     halves = distinct.select("id", F.explode("halves").alias("key"))
     shared = written(halves.groupBy("key").count().where("count > 1").select("key"), "line-halves")
     some = written(halves.join(_small(shared, 24), "key").select("id").distinct().join(distinct.select("id", "at"), "id"), "line-candidates")
@@ -109,32 +139,38 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, row: str | None
     earlier = F.when(F.col("role") == 2, F.col("first2")).when(F.col("role") == 1, F.col("first0")).otherwise(F.col("first1"))
     pairs = variants.join(firsts, "variant").select("id", "at", earlier.alias("earlier")).where(F.col("earlier.at") < F.col("at"))
     pairs = pairs.select("id", "at", F.col("earlier.id").alias("earlier_id")).distinct()
+    return _settled(distinct, texts, pairs, edits)
+
+
+def _settled(distinct: DataFrame, texts: DataFrame, pairs: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
+    """What duplicate_lines() returns, of pairs (id, at, earlier_id) that may be alike."""
     one, two = texts.select("id", "line"), texts.select(F.col("id").alias("earlier_id"), F.col("line").alias("earlier"))
-    near = pairs.join(one, "id").join(two, "earlier_id").where(_within_one_edit(F.col("line"), F.col("earlier")))
+    near = pairs.join(one, "id").join(two, "earlier_id").where(_within(F.col("line"), F.col("earlier"), edits))
     gone = written(near.groupBy("id", "at").agg(F.min("earlier").alias("earlier")), "lines-gone")
     return distinct.join(gone.select("id"), "id", "left_anti").select("at"), gone
 
 
-def _kept(docs: DataFrame, min_chars: int, row: str | None = None) -> DataFrame:
-    stay, _ = duplicate_lines(docs, min_chars, row)
+def _kept(docs: DataFrame, *how) -> DataFrame:
+    stay, _ = duplicate_lines(docs, *how)
+    row = how[1]
     return stay.groupBy(F.col("at")[row or "doc_id"].alias("id_of")).agg(F.sort_array(F.collect_list("at.no")).alias("firsts"))
 
 
-def line_report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_report(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None, edits: int = 1) -> DataFrame:
     """A row per document: doc_id, n_lines, n_long (lines that may go), kept_lines (numbers, from 0, of those
     of them that stay)."""
     lines = F.transform(_split(F.col("text")), lambda x: F.length(F.btrim(x, F.lit(BLANK))))
-    counts = docs.select("doc_id", F.when(F.length(F.coalesce("text", F.lit(""))) > 0, F.size(lines)).otherwise(0).cast("long").alias("n_lines"), F.size(F.filter(lines, lambda n: n >= min_chars)).cast("long").alias("n_long"))
-    kept = _kept(docs, min_chars)
+    counts = docs.select("doc_id", F.when(F.length(F.coalesce("text", F.lit(""))) > 0, F.size(lines)).otherwise(0).cast("long").alias("n_lines"), F.size(F.filter(lines, lambda n: n >= _least(min_chars, exact_chars))).cast("long").alias("n_long"))
+    kept = _kept(docs, min_chars, None, exact_chars, edits)
     joined = counts.join(kept, F.col("doc_id").eqNullSafe(F.col("id_of")), "left")
     return joined.select("doc_id", "n_lines", "n_long", F.coalesce("firsts", F.array().cast("array<int>")).alias("kept_lines"))
 
 
-def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, row: str | None = None) -> DataFrame:
+def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, row: str | None = None, exact_chars: int | None = None, edits: int = 1) -> DataFrame:
     """docs without the lines that go; a document all of whose lines go has an empty text, and a null text
     stays null."""
-    kept = _kept(docs, min_chars, row).withColumnsRenamed({"id_of": "__id_of", "firsts": "__firsts"})
+    kept = _kept(docs, min_chars, row, exact_chars, edits).withColumnsRenamed({"id_of": "__id_of", "firsts": "__firsts"})
     joined = docs.join(kept, docs[row or "doc_id"].eqNullSafe(F.col("__id_of")), "left")
-    stays = lambda line, no: (F.length(F.btrim(line, F.lit(BLANK))) < min_chars) | F.coalesce(F.array_contains("__firsts", no), F.lit(False))
+    stays = lambda line, no: (F.length(F.btrim(line, F.lit(BLANK))) < _least(min_chars, exact_chars)) | F.coalesce(F.array_contains("__firsts", no), F.lit(False))
     text = F.when(docs["text"].isNotNull(), F.array_join(F.filter(_split(docs["text"]), stays), "\n"))
     return joined.withColumn("text", text).select(*docs.columns)

@@ -22,7 +22,7 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_report(table(spark, sf_dir, "documents"))
+    return lines.line_report(table(spark, sf_dir, "documents"), exact_chars=1)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

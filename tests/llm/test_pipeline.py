@@ -47,10 +47,10 @@ def test_rows_are_decided_one_by_one(spark, sf_dir, mixed):
         left = []
         for line in few[k][1].split("\n"):
             x = line.strip(lines.BLANK)
-            if len(x) < lines.MIN_CHARS or not any(within_one(x, s) for s in seen):
+            alike = any(within_one(x, s) for s in seen if len(s) >= lines.MIN_CHARS) if len(x) >= lines.MIN_CHARS else x in seen
+            if not x or not alike:
                 left.append(line)
-            if len(x) >= lines.MIN_CHARS:
-                seen.append(x)
+            seen.append(x)
         wanted[few[k][0], "\n".join(left)] += 1
     got = corpus_pipeline.line_dedup(spark, spark.createDataFrame(few, COLUMNS).coalesce(1), sf_dir)
     assert rows_of(got) == wanted
