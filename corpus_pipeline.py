@@ -25,6 +25,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: The column of row numbers; run() writes it once, a stage by itself numbers its rows and drops it.
 ROW = "__row"
+#: Of the language stage, neither grows with length: the share of words in stretches that agree with the text's
+#: language (about half where two are mixed), and nats a character below the language's own level (2 and more for
+#: most languages that weren't learnt, 5 for random letters).
+MIN_AGREE = 0.67
+MAX_BELOW = 1.5
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -50,11 +55,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language, which has more than half of the probability."""
+    """Documents in one known language: it has more than half of the probability, MIN_AGREE of the words lie in
+    stretches most likely in it, and characters are as likely as its own, but for MAX_BELOW."""
     rows = _numbered(docs)
     named = rows.withColumn("doc_id", F.coalesce("doc_id", ROW))  # rows without an id are learnt from, too
-    found = identify(named, tokenizer_file("piece_bpe_32k.model"), row=ROW)
-    return _only(rows, found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0.5))).select(*docs.columns)
+    found = identify(named, tokenizer_file("piece_bpe_32k.model"), row=ROW, measures=True)
+    one = (F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0.5) & (F.col("agree") >= MIN_AGREE) & (F.col("below") <= MAX_BELOW)
+    return _only(rows, found.where(one)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,8 @@ UNKNOWN = "und"
 STRETCH = 48
 #: Words that a worker keeps at most.
 KEPT = 600_000
+#: Words of a stretch whose language is compared with the text's.
+STEP = 3
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BREAKS = str.maketrans({chr(c): " " for c in range(128) if not chr(c).isalpha()})
@@ -177,8 +179,8 @@ class Scorer:
         self.at: dict[str, int] = {}
         self.logs = np.zeros((0, probs.shape[1]))
 
-    def texts(self, texts: list[str | None]) -> np.ndarray:
-        """A row of sums for each text."""
+    def words(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, int]]:
+        """For each text a row for each word, and their characters."""
         split = [words_of(t) if t else [] for t in texts]
         new = list({w for ws in split for w in ws if w not in self.at})
         if len(self.at) + len(new) > KEPT:
@@ -195,7 +197,40 @@ class Scorer:
             self.logs = np.concatenate([self.logs, logs])
             self.at.update(zip(new, range(start, start + len(new)), strict=True))
         get = self.at.__getitem__
-        return np.array([self.logs[np.fromiter(map(get, ws), np.int64, len(ws))].sum(axis=0) for ws in split]).reshape(len(texts), -1)
+        for ws in split:
+            yield self.logs[np.fromiter(map(get, ws), np.int64, len(ws))], sum(map(len, ws))
+
+    def texts(self, texts: list[str | None]) -> np.ndarray:
+        """A row of sums for each text."""
+        return np.array([logs.sum(axis=0) for logs, _ in self.words(texts)]).reshape(len(texts), -1)
+
+    def measured(self, texts: list[str | None], levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """texts(), and of each text's best language: the share of words in stretches of STEP that are most
+        likely in it, too, and how far a character's mean log probability is below the language's level."""
+        sums, agree, below = np.zeros((len(texts), len(levels))), np.zeros(len(texts)), np.full(len(texts), np.inf)
+        for k, (logs, chars) in enumerate(self.words(texts)):
+            if len(logs):
+                sums[k] = logs.sum(axis=0)
+                best = sums[k].argmax()
+                starts = np.arange(0, len(logs), STEP)
+                sizes = np.diff(np.append(starts, len(logs)))
+                agree[k] = sizes[np.add.reduceat(logs, starts).argmax(axis=1) == best].sum() / len(logs)
+                below[k] = levels[best] - sums[k, best] / chars
+        return sums, agree, below
+
+
+def levels_of(samples: dict[str, Counter], scorer: Scorer) -> np.ndarray:
+    """The mean log probability of a character of each language's sample in that language."""
+    levels = []
+    for column, counts in enumerate(samples.values()):
+        words, total, chars = list(counts), 0.0, 0
+        for start in range(0, len(words), 20_000):
+            part = words[start : start + 20_000]
+            n = np.array([counts[w] for w in part], float)
+            total += float(n @ scorer.texts(part)[:, column])
+            chars += sum(counts[w] * len(w) for w in part)
+        levels.append(total / max(1, chars))
+    return np.array(levels)
 
 
 def _sample(docs: DataFrame, how: Learning) -> dict[str, Counter]:
@@ -220,14 +255,17 @@ def _sample(docs: DataFrame, how: Learning) -> dict[str, Counter]:
 _scorers: dict[str, Scorer] = {}
 
 
-def identify(docs: DataFrame, file: str, how: Learning = Learning(), row: str = "doc_id") -> DataFrame:
+def identify(docs: DataFrame, file: str, how: Learning = Learning(), row: str = "doc_id", measures: bool = False) -> DataFrame:
     """A row per document: doc_id, held_out, lang_pred, score (the language's share of the probability).
 
+    measures: two columns more that don't grow with a text's length: agree and below, as in Scorer.measured().
     file: a sentencepiece model. row: the column (of longs) that is returned as doc_id. Languages, ids and sources are not looked at when predicting."""
     samples = _sample(docs, how)
     pieces = vocabulary(file)
     languages = list(samples)
-    model = docs.sparkSession.sparkContext.broadcast((pieces, learn(samples, Pieces(pieces), how.rounds, how.smoothing)))  # pieces x languages numbers
+    probs = learn(samples, Pieces(pieces), how.rounds, how.smoothing)
+    levels = levels_of(samples, Scorer(pieces, probs)) if measures and languages else np.zeros(len(languages))
+    model = docs.sparkSession.sparkContext.broadcast((pieces, probs))  # pieces x languages numbers
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,13 +279,18 @@ def identify(docs: DataFrame, file: str, how: Learning = Learning(), row: str =
                 part = texts[start:end]
                 letters = np.array([bool(t) and any(map(str.isalpha, t)) for t in part], bool)
                 names, scores = np.full(len(part), UNKNOWN, object), np.zeros(len(part))
+                agree, below = np.zeros(len(part)), np.full(len(part), np.inf)
                 if languages:
-                    sums = scorer.texts(part)
+                    if measures:
+                        sums, agree, below = scorer.measured(part, levels)
+                    else:
+                        sums = scorer.texts(part)
                     best = sums.argmax(axis=1)
                     share = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
                     names[letters] = np.array(languages, object)[best[letters]]
                     scores[letters] = share[letters]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[start:end], pa.int64()), pa.array(held[start:end], pa.bool_()), pa.array(names.tolist(), pa.string()), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
+                columns = [pa.array(ids[start:end], pa.int64()), pa.array(held[start:end], pa.bool_()), pa.array(names.tolist(), pa.string()), pa.array(scores)]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(agree), pa.array(below)] * measures, names=["doc_id", "held_out", "lang_pred", "score", "agree", "below"][: 4 + 2 * measures])
 
     rows = docs.select(F.col(row).alias("doc_id"), held_out(F.col("doc_id"), how.folds, how.fold).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double" + ", agree double, below double" * measures)

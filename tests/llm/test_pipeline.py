@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import random
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 import pytest
@@ -70,3 +71,26 @@ def test_a_source_without_ids_passes(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs, none = (corpus_pipeline.written(stage(spark, d, sf_dir), "test") for d in (docs, none))
         assert none.count() == docs.count() > 0, name
+
+
+def test_only_one_known_language_passes(spark):
+    """Random letters, halves of two languages and languages that weren't learnt go, whatever their length."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng, by = random.Random(1), defaultdict(list)
+    for r in docs.orderBy("doc_id").collect():
+        if r.n_chars >= 400:
+            by[r.lang].append(r.text.split())
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    bad = [" ".join(word() for _ in range(60 * 4 ** (k % 3))) for k in range(60)]
+    strange = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. ", "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. ", "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. "]
+    bad += [s * n for s in strange for n in (5, 50)]
+    mixed = []
+    for _ in range(100):
+        a, b = (rng.choice(by[k]) for k in rng.sample(sorted(by), 2))
+        n = min(len(a), len(b))
+        mixed.append(" ".join(a[:n] + b[:n]))
+    rows = [(10**6 + k, t, None, "x", len(t)) for k, t in enumerate(bad + mixed)]
+    kept = [r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(spark.createDataFrame(rows, COLUMNS)), "").select("doc_id").collect()]
+    assert sum(k < 10**6 for k in kept) >= 0.98 * docs.count()
+    assert not [k for k in kept if 10**6 <= k < 10**6 + len(bad)]
+    assert sum(k >= 10**6 + len(bad) for k in kept) <= 0.03 * len(mixed)
