@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -81,15 +82,103 @@ def merges_of(words: Counter, vocab_size: int, min_frequency: int, max_length: i
     return merges
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """df as a table in the folder that spark.checkpoint.dir names (a local one where none is named), removed
+    when the driver's JVM ends."""
+    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    path = f"{(named or '/tmp/checkpoints/sparkloom').rstrip('/')}/pieces-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(table: DataFrame) -> None:
+    """Delete a table of _written() that no later step reads."""
+    context = table.sparkSession.sparkContext
+    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _batch(pairs: list[tuple[int, tuple[str, str]]], made: set[str]) -> list[tuple[str, str]]:
+    """Of pairs in their order the first that can be merged at once: they share no token with each other, so no
+    merge changes another's count, and a pair that a merge makes is as frequent as one left out at most."""
+    taken: list[tuple[int, tuple[str, str]]] = []
+    used: set[str] = set()
+    for n, (a, b) in pairs:
+        if a in used or b in used:
+            break
+        taken.append((n, (a, b)))
+        used |= {a, b}
+        if a == b or a + b in made:  # what it makes may be more frequent than the next
+            break
+        made = made | {a + b}
+    left = pairs[min(len(taken), len(pairs) - 1)][0]
+    while len(taken) > 1 and taken[-1][0] <= left:  # a pair made now may tie with these
+        taken.pop()
+    return [pair for _, pair in taken]
+
+
+def _merger(first: dict[str, str]):
+    """A function of a column: arrays of tokens in which pairs (key and value of first) are merged."""
+
+    def one(old: list[str]) -> list[str]:
+        new, at = [], 0
+        while at < len(old):
+            both = at + 1 < len(old) and first.get(old[at]) == old[at + 1]
+            new.append(old[at] + old[at + 1] if both else old[at])
+            at += 1 + both
+        return new
+
+    @F.pandas_udf("array<string>")
+    def merged(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: one(list(x)))
+
+    return merged
+
+
+def merges_by_spark(counts: DataFrame, vocab_size: int, min_frequency: int, max_length: int) -> list[tuple[str, str]]:
+    """merges_of() over a table of pieces (piece, n) of any size: each round counts all pairs in Spark and merges
+    a batch of the most frequent."""
+    to = alphabet()
+
+    @F.pandas_udf("array<string>")
+    def split(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: [to[b] for b in x.encode()])
+
+    table = _written(counts.select(split("piece").alias("parts"), "n").where(F.size("parts") > 1))
+    merges: list[tuple[str, str]] = []
+    made = set(to.values())
+    room = vocab_size - 256 - len(SPECIALS)
+    while len(merges) < room:
+        both = F.transform(F.slice("parts", F.lit(1), F.size("parts") - 1), lambda x, k: F.struct(x.alias("a"), F.get("parts", k + 1).alias("b")))
+        each = table.select(F.explode(both).alias("pair"), "n").where(F.length("pair.a") + F.length("pair.b") <= max_length)
+        top = each.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= min_frequency).orderBy(F.desc("n"), "pair.a", "pair.b").limit(1000)
+        pairs = [(r["n"], (r["pair"]["a"], r["pair"]["b"])) for r in top.collect()]
+        if not pairs:
+            break
+        now = _batch(pairs, made)[: room - len(merges)]
+        merges += now
+        made |= {a + b for a, b in now}
+        before, table = table, _written(table.select(_merger(dict(now))("parts").alias("parts"), "n").where(F.size("parts") > 1))
+        _remove(before)
+    return merges
+
+
 def train(df: DataFrame, text: str, vocab_size: int = 24576, min_frequency: int = 10, max_length: int = 20, max_pieces: int = 5_000_000) -> dict:
-    """A tokenizer file's content. Pieces are counted by Spark; the driver merges over the max_pieces most
-    frequent of those that occur twice or more."""
-    counts = pretoken_counts(df, text).where("n > 1").orderBy(F.desc("n"), "piece").limit(max_pieces)
+    """A tokenizer file's content. All pieces are counted by Spark; up to max_pieces distinct ones are merged on
+    the driver, more by Spark, with the same result."""
+    counts = _written(pretoken_counts(df, text))
     to = alphabet()
-    words: Counter = Counter()
-    for r in counts.toLocalIterator():
-        words["".join(to[b] for b in r["piece"].encode())] += r["n"]
-    merges = merges_of(words, vocab_size, min_frequency, max_length)
+    if counts.count() <= max_pieces:
+        words: Counter = Counter()
+        for r in counts.toLocalIterator():
+            words["".join(to[b] for b in r["piece"].encode())] += r["n"]
+        merges = merges_of(words, vocab_size, min_frequency, max_length)
+    else:
+        merges = merges_by_spark(counts, vocab_size, min_frequency, max_length)
     tokens = [*SPECIALS, *sorted(to.values()), *(a + b for a, b in merges)]
     vocab = {t: k for k, t in enumerate(dict.fromkeys(tokens))}
     return {
