@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -13,8 +14,12 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share; where none is named, a local one for a single machine, and an
+    error on a cluster."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named or "/tmp/checkpoints/sparkloom"
 
 
@@ -34,10 +39,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table of new_path() that no later step reads."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def fewer(df: DataFrame) -> DataFrame:
+    """df with a quarter of the shuffle's partitions, 8 at least: for what is much less than was shuffled."""
+    return df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
+
+
+def remove(*tables: DataFrame) -> None:
+    """Delete tables of written() that no later step reads."""
+    for table in tables:
+        spark = table.sparkSession
+        for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles and broadcasts that no plan needs any more: it does so once the driver's
+    garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def words(text: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fewer, remove, written
 
 
 def _large(links: DataFrame) -> DataFrame:
@@ -27,11 +27,15 @@ def _small(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links: u, v. A row for each node but the smallest of its component: node, root."""
+    """links: u, v. A row for each node but the smallest of its component: node, root.
+
+    Defined cases: no links give no row; links of a node with itself, repeated ones and those with a null end
+    connect nothing; other columns are ignored."""
     now, before = written(links.select("u", "v").where("u <> v").distinct(), "links"), None
     while True:
         mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark[0] == 0 or mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = mark
-        now = written(_small(_large(now)), "links")
+        before, last = mark, now
+        now = written(fewer(_small(_large(last))), "links")
+        remove(last)

@@ -10,17 +10,28 @@ frequent tokens over a prefix so far extended that one combination must
 survive all differences that the threshold allows. Which tokens count as
 frequent is a matter of speed only: any table gives every link.
 
+A key also carries what its set can be similar to: with n tokens, f of which
+may be shared (all of them where a rare token is the first shared, the
+frequent ones else), a partner has g = (100 + percent) * f / percent - n tokens
+at most, so two sets are held together only if each one's n is within the
+other's g. Copies with too many tokens of their own thus drop out unless a
+copy smaller than they are exists.
+
 Links are verified by intersecting whole sets. Within the documents of a key,
-each is first held against one of them, then against others chosen by hash,
-and in the end every pair is verified whose two sides are not yet connected.
-So groups of near copies cost about as many checks as they have members, and
-no link between components is lost.
+each is first held against one of them, then against another chosen by hash.
+What is then still apart from the largest component of its key looks up, by
+exact size, the sizes that the key has within its g, and is held against
+those documents of other components that fit. So groups of near copies cost
+about as many checks as they have members, and no link between components is
+lost.
 
 Defined cases: a document without words (or text) has no tokens and is linked
 with nothing; one with fewer words than a shingle has the whole sequence as
 its token; equal sets are one class from the start; rows that repeat an id
 are placed each by its own text; a null doc_id is linked with nothing and has
-a null component_id; an empty table gives no row; other columns are ignored.
+a null component_id; texts of any length are hashed whole; equally similar
+pairs are all links, so there are no ties; an empty table gives no row; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,26 +42,28 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, remove, written
+from .common import columns_of, fewer, free, remove, written
 from .components import components
 from .lm import expanded, squeezed
 
 #: Bytes of text that are hashed together, about.
 GATHERED = 4 << 20
 #: Tables of keys are broadcast up to this size, and joined by a shuffle beyond it.
-BROADCAST_BYTES = 32 << 20
-#: Members that are held against a hub in one group.
-MEMBERS = 128
+BROADCAST_BYTES = 16 << 20
+#: Members that are held against a hub in one group, and groups that a text is sent to from one row.
+MEMBERS, GROUPS = 128, 1024
+#: Sizes of sets are told apart exactly up to this one, and in steps of one part in so many beyond.
+EXACT = 256
 
 
 @dataclass(frozen=True)
 class Similarity:
     """percent: of the union that the intersection must be, at least. width: words of a shingle. combination:
     tokens in a key of frequent ones. frequent: documents beyond which a token is frequent; table: the most
-    tokens that are treated so. rounds: of checks against single members before the rest is checked."""
+    tokens that are treated so. rounds: of checks after the first, the last of which is of all that is left."""
 
     percent: int = 85
     width: int = 4
@@ -212,9 +225,9 @@ def _frequent(docs: DataFrame, how: Similarity) -> np.ndarray:
     return np.unique(np.concatenate([first, second]))
 
 
-def _classes(docs: DataFrame, how: Similarity) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, n_shingles, mark) and classes of equal sets (node, mark, doc_id: the smallest, n, frequent:
-    tokens that are, keys)."""
+def _classes(docs: DataFrame, how: Similarity) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (doc_id, n_shingles, mark), classes of equal sets (node, mark, doc_id: the smallest) and their keys
+    (node, n, frequent: tokens that are, keys)."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, how))  # twice how.table numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,9 +244,10 @@ def _classes(docs: DataFrame, how: Similarity) -> tuple[DataFrame, DataFrame]:
     some = made.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("n_frequent").alias("frequent"), F.first("keys").alias("keys"))
     # the smaller a node's number, the fewer of its tokens are rare: what near copies were made from comes first
     rarity = F.floor(100 * (F.col("n") - F.col("frequent")) / F.col("n")).cast("long")
-    classes = written(some.withColumn("node", F.shiftleft(rarity, 56) + F.monotonically_increasing_id()), "jaccard-classes")
-    remove(docs.sparkSession, made.inputFiles()[0].rpartition("/")[0])
-    return each, classes
+    keyed = written(some.withColumn("node", F.shiftleft(rarity, 56) + F.monotonically_increasing_id()), "jaccard-keyed")
+    classes = written(keyed.select("node", "mark", "doc_id"), "jaccard-classes")
+    remove(made)
+    return each, classes, keyed
 
 
 def _small(df: DataFrame, bytes_each: int) -> DataFrame:
@@ -243,11 +257,11 @@ def _small(df: DataFrame, bytes_each: int) -> DataFrame:
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, how: Similarity) -> DataFrame:
     """Of pairs (a, b: nodes) those that are similar. A hub's set meets its members' in groups of bounded size."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
-    dealt = written(pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")), "jaccard-pairs")
-    need = dealt.select(F.col("b").alias("node"), "a", "part", F.lit(False).alias("hub")).unionByName(dealt.select(F.col("a").alias("node"), "a", "part", F.lit(True).alias("hub")).distinct())
-    need = need.groupBy("node").agg(F.collect_list(F.struct("a", "part", "hub")).alias("groups"))
-    need = written(need.join(classes.select("node", F.col("doc_id").alias("of_doc"), "mark"), "node"), "jaccard-needed")
-    texts = docs.select("doc_id", "text").join(_small(need, 128), F.col("doc_id") == F.col("of_doc")).select("node", "mark", "groups", "text")
+    pairs = written(pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")), "jaccard-pairs")
+    need = pairs.select(F.col("b").alias("node"), "a", "part", F.lit(False).alias("hub")).unionByName(pairs.select(F.col("a").alias("node"), "a", "part", F.lit(True).alias("hub")).distinct())
+    need = need.groupBy("node", F.floor(F.col("part") / GROUPS).alias("chunk")).agg(F.collect_list(F.struct("a", "part", "hub")).alias("groups"))
+    need = written(need.join(classes.select("node", F.col("doc_id").alias("of_doc"), "mark"), "node").drop("chunk"), "jaccard-needed")
+    texts = docs.select("doc_id", "text").join(_small(need, 160), F.col("doc_id") == F.col("of_doc")).select("node", "mark", "groups", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
@@ -260,7 +274,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, how: Simila
             for node, m, gs, s in zip(nodes, marks, groups, token_sets(texts, how.width), strict=True):
                 if mark(s) != m:
                     continue  # another row of the same id
-                data = squeezed(s)
+                data = squeezed(s >> np.uint64(16))  # 48 bits still tell a pair's tokens apart
                 for g in gs:
                     rows.append((g["a"], g["part"], g["hub"], node, data))
                     held += len(data)
@@ -289,50 +303,70 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, how: Simila
 
     met = texts.mapInArrow(sets, "a long, part long, hub boolean, node long, tokens binary")
     dealt = met.repartition("a", "part").sortWithinPartitions("a", "part", F.col("hub").desc())
-    return written(dealt.mapInArrow(similar, "u long, v long").distinct(), "jaccard-links")
+    links = written(fewer(dealt.mapInArrow(similar, "u long, v long").distinct()), "jaccard-links")
+    remove(need, pairs)
+    free(docs.sparkSession)
+    return links
+
+
+def _size_class(n: Column) -> Column:
+    return F.when(n <= EXACT, n).otherwise(EXACT + F.floor(EXACT * F.log(n / EXACT))).cast("long")
+
+
+def _apart(open_: DataFrame, how: Similarity) -> DataFrame:
+    """Pairs (a, b) that fit, of what is outside the largest component of its key and all of other components.
+    A key's sizes are few (one row each), and only those within a set's reach are looked up."""
+    sized = open_.withColumn("size", _size_class(F.col("n")))
+    sizes = sized.groupBy("key", "size").agg(F.max("g").alias("reach"), F.min("root").alias("low"), F.max("root").alias("high"))
+    sizes = sizes.groupBy("key").agg(F.collect_list(F.struct("size", "reach", "low", "high")).alias("sizes"))
+    rest = open_.where("root <> top").select("key", F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("n").alias("a_n"), F.col("g").alias("a_g"))
+    least, most = F.ceil(F.col("a_n") * how.percent / 100), F.least("a_g", F.floor(F.col("a_n") * 100 / how.percent))
+    fits = lambda s: (s["size"] >= _size_class(least)) & (s["size"] <= _size_class(most)) & (s["reach"] >= F.col("a_n")) & ((s["low"] != F.col("a_root")) | (s["high"] != F.col("a_root")))
+    probes = rest.where(F.col("a_g") >= least).join(sizes, "key").select("key", "a", "a_root", "a_n", "a_g", F.explode(F.filter("sizes", fits)).alias("at")).select("*", F.col("at.size").alias("size")).drop("at")
+    probes = written(probes, "jaccard-probes")
+    meets = (F.col("a_root") != F.col("root")) & (F.col("n") <= F.col("a_g")) & (F.col("a_n") <= F.col("g"))
+    found = probes.alias("p").join(sized.select("key", "size", "node", "n", "g", "root").alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.size") == F.col("q.size")) & meets)
+    return found.select("a", F.col("node").alias("b"))
 
 
 def linked(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to)."""
-    each, classes = _classes(docs, how)
-    sizes = classes.select("node", "n", "frequent")
-    postings = classes.select("node", F.explode("keys").alias("key"))
-    met = written(postings.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min("node").alias("pivot")).where("count > 1").select("key", "pivot"), "jaccard-keys")
-    index = written(postings.join(_small(met, 32), "key").select("key", "node", "pivot"), "jaccard-index")
-    a_side = sizes.withColumnsRenamed({"node": "a", "n": "a_n", "frequent": "a_frequent"})
-    b_side = sizes.withColumnsRenamed({"node": "b", "n": "b_n", "frequent": "b_frequent"})
-    # what two sets share is as large as the smaller at most, and if a combination found them, as what is frequent in either
-    most = F.when(F.col("rare"), F.least("a_n", "b_n")).otherwise(F.least("a_frequent", "b_frequent"))
-    close = (100 * F.least("a_n", "b_n") >= how.percent * F.greatest("a_n", "b_n")) & ((100 + how.percent) * most >= how.percent * (F.col("a_n") + F.col("b_n")))
-    rare = (F.col("key").bitwiseAND(1) == 0).alias("rare")
-
-    def fitting(pairs: DataFrame) -> DataFrame:
-        return pairs.distinct().join(a_side, "a").join(b_side, "b").where(close).select("a", "b").distinct()
-
-    checked = written(fitting(index.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), rare)), "jaccard-checked")
+    each, classes, keyed = _classes(docs, how)
+    # how large a set may be that shares what is under the key: all tokens under a rare one, frequent ones else
+    reach = F.when(F.col("key").bitwiseAND(1) == 0, F.floor(100 * F.col("n") / how.percent)).otherwise(F.floor((100 + how.percent) * F.col("frequent") / how.percent) - F.col("n"))
+    postings = keyed.select("node", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("frequent")).alias("packed"), F.explode("keys").alias("key"))
+    met = postings.groupBy("key").count().where("count > 1").select("key")
+    unpacked = {"n": F.shiftright("packed", 32), "frequent": F.col("packed").bitwiseAND((1 << 32) - 1)}
+    index = written(postings.join(met, "key").withColumns(unpacked).select("key", "node", "n", reach.alias("g")), "jaccard-index")
+    remove(keyed)
+    free(docs.sparkSession)
+    fits = (F.col("n") <= F.col("a_g")) & (F.col("a_n") <= F.col("g"))
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    pivot = index.groupBy("key").agg(F.min(F.struct("node", "n", "g")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.n").alias("a_n"), F.col("p.g").alias("a_g"))
+    first = index.join(pivot, "key").where((F.col("node") != F.col("a")) & fits).select("a", F.col("node").alias("b"))
+    checked = written(first.distinct(), "jaccard-checked")
     links = _verified(docs, classes, checked, how)
     roots = components(links)
-    for round_ in range(1, how.rounds + 1):
+    for last in [False] * (how.rounds - 1) + [True]:
         # keys whose documents are not all connected yet, and which component has most of them
-        at = index.select("key", "node").join(_small(roots, 32), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        at = index.join(_small(roots, 32), "node", "left").withColumn("root", F.coalesce("root", "node"))
         spread = at.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", F.col("top.root").alias("top"))
         open_ = written(at.join(_small(spread, 32), "key"), "jaccard-open")
         if open_.isEmpty():
             break
-        if round_ < how.rounds:  # against one member, another for each key
-            hub = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(round_)).alias("h"), F.col("node").alias("a"), F.col("root").alias("a_root"))).alias("hub")).select("key", "hub.a", "hub.a_root")
-            pairs = open_.join(hub, "key").where("root <> a_root").select("a", F.col("node").alias("b"), rare)
-        else:  # whatever is left: all outside the largest component of a key, against all of other components
-            rest = open_.where("root <> top").select("key", F.col("node").alias("a"), F.col("root").alias("a_root"))
-            pairs = rest.join(open_.select("key", F.col("node").alias("b"), "root"), "key").where("a_root <> root").select("a", "b", rare)
-        pairs = pairs.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"), "rare")
-        new = written(fitting(pairs).join(checked, ["a", "b"], "left_anti"), "jaccard-checked")
+        if last:
+            pairs = _apart(open_, how)
+        else:  # against one member, another for each key
+            hub = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("n").alias("a_n"), F.col("g").alias("a_g"))).alias("hub")).select("key", "hub.*")
+            pairs = open_.join(hub, "key").where((F.col("root") != F.col("a_root")) & fits).select("a", F.col("node").alias("b"))
+        new = written(pairs.select(*ordered).distinct().join(checked, ["a", "b"], "left_anti"), "jaccard-checked")
         if not new.isEmpty():
             more = _verified(docs, classes, new, how)
             if not more.isEmpty():
                 links = links.unionByName(more)
                 roots = components(links)
             checked = checked.unionByName(new)
+        remove(open_)
     nodes = classes.select("node", "mark", "doc_id").join(roots, "node", "left").select("mark", "doc_id", F.coalesce("root", "node").alias("root"))
     least = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     placed = nodes.join(least, "root").select(F.col("mark").alias("of_mark"), "component_id")
