@@ -1,13 +1,17 @@
 """Exact deduplication by distributed radix partitioning, most significant bytes first.
 
-Documents are split by their next bytes, a digit of several at a time and
-wider in each round, until a group has one document or its text has ended.
-Rounds look only at groups of two and more, so distinct texts leave early.
-Bytes are compared themselves; no digest decides about equality. A group is
-never brought together: each round counts groups with partial sums and joins
-the counts back, a join whose large keys Spark can split.
-
-Defined cases: a null text is an empty one; runs of white space count as one
+Documents are split by their successive bytes, a digit of several bytes at a
+time and wider in each round, until a group has one document or its text has
+ended. Only groups of two and more go on, so distinct texts leave early, and
+what a round decides is written out at once. Bytes are compared themselves;
+no digest decides about equality. A group is never brought together: each
+round counts groups with partial sums and joins the counts of those with two
+and more back, a join whose large keys Spark can split.
+
+Defined cases: a null text is an empty one; texts of any length are compared
+to their last byte (the longest decides how many rounds there are); of equal
+texts the smallest doc_id stays, so there are no ties but among rows that
+repeat an id; runs of white space count as one
 space; a null doc_id comes after all others, so a group of nulls only has no
 keep_id and keeps none; rows that repeat an id and its text are all kept or
 all dropped, and each counts in group_size; an empty table gives no row;
@@ -19,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, written
+from .common import SPACE, fewer, free, remove, written
 
 #: Bytes of the first digit, and how much wider each next one is.
 FIRST, WIDER = 48, 6
@@ -39,28 +43,33 @@ def exact_groups(docs: DataFrame, first: int = FIRST, wider: int = WIDER) -> Dat
         """The next digit of each row and whether its text ends within it."""
         return rows.select("doc_id", "parent", F.substring("rest", 1, width).alias("digit"), (F.length("rest") < width).alias("ended"), *also)
 
+    spark = docs.sparkSession
     start = base.withColumn("parent", F.lit(0).cast("long"))
     hashed = F.sha2("rest", 256).alias("text_sha256")
     rows = written(digits(start, first, hashed), "radix-rows")  # digits only: most texts are not needed again
-    out: list[DataFrame] = []
-    keys, width, texts = ["parent", "digit", "ended"], first, digits(start, first, "rest")
+    found, keys, width, texts = None, ["parent", "digit", "ended"], first, digits(start, first, "rest")
     while True:
-        groups = rows.groupBy(*keys).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        groups = written(groups.withColumn("group", F.monotonically_increasing_id()), "radix-groups")
-        decided = (F.col("group_size") == 1) | F.col("ended")
-        out.append(rows.join(groups.where(decided), keys).select("doc_id", "keep_id", "group_size", "text_sha256"))
-        more = groups.where(~decided).select(*keys, "group")
+        groups = rows.groupBy(*keys).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+        groups = written(fewer(groups).withColumn("group", F.monotonically_increasing_id()), "radix-groups")
+        placed = rows.join(groups, keys, "left").where("ended OR group IS NULL")
+        alone = F.col("group").isNull()
+        placed = placed.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(alone, F.lit(1).cast("long")).otherwise(F.col("group_size")).alias("group_size"), "text_sha256")
+        placed = written(fewer(placed), "radix-decided")
+        found = placed if found is None else found.unionByName(placed)
+        more = groups.where("NOT ended").select(*keys, "group")
         n = more.count()
-        if not n:
+        if n:
+            if n * (width + 64) <= BROADCAST_BYTES:
+                more = F.broadcast(more)
+            left = texts.join(more, keys).select("doc_id", F.col("group").alias("parent"), *([hashed] if width == first else ["text_sha256"]), F.expr(f"substring(rest, {width + 1})").alias("rest"))
+            width *= wider
+            texts, done = written(digits(left, width, "text_sha256", "rest"), "radix-rows"), rows
+            rows = texts
+            remove(done, groups)
+            free(spark)
+        else:
+            remove(rows, groups)
             break
-        if n * (width + 64) <= BROADCAST_BYTES:
-            more = F.broadcast(more)
-        left = texts.join(more, keys).select("doc_id", F.col("group").alias("parent"), *([hashed] if width == first else ["text_sha256"]), F.expr(f"substring(rest, {width + 1})").alias("rest"))
-        width *= wider
-        texts = rows = written(digits(left, width, "text_sha256", "rest"), "radix-rows")
-    found = out[0]
-    for x in out[1:]:
-        found = found.unionByName(x)
     return found.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
 
 
