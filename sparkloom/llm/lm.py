@@ -1,31 +1,40 @@
 """Language-model scoring by a weighted backoff automaton.
 
-States are the words seen in training (and the start of a text), arcs the
-word pairs seen, each with its log probability; a failure arc leads from
-every state to the root, whose arcs are the single words. One traversal from
-left to right carries the state: it follows the arc of the next word if the
-state has one, and else fails to the root and goes on from there.
+States are the contexts seen in training: the empty one (the root), each word
+(and the start of a text), each pair of words, and so on up to order - 1
+tokens. A state has an arc for each token seen after it, which leads to the
+longest state that ends in it, and a failure arc to the state of its context
+without the first token, with a weight of its own. One pass from left to right
+carries the state: it follows the arc of the next token if the state has one,
+and else takes failure arcs until a state has it, adding up log probabilities.
+Which state a token leads to depends on the arc it took only, so a block's
+tokens take their steps at once, each from the state of the token before.
+
+Probabilities. At the root a token seen c times of N has (c + 1) / (N + V + 1),
+with V distinct tokens and one unknown. An arc from a state seen C times to a
+token seen c times there has (c + strength * p) / (C + strength), where p is
+what the token has where the failure arc leads, and the failure arc has
+strength / (C + strength). So in each state, what arcs and failures lead to
+sums to one.
 
 Counts cover all training rows and the automaton is never in one place. The
-texts are cut into blocks of bounded size; a block asks for the counts of
-the pairs and words that it holds, so the part of the automaton that its
-texts can pass through comes to it. Requests are dealt out by hash and carry
-each key once a block, so a frequent word is no heavier than a rare one.
-
-Probabilities. An unknown word is one more type. At the root it has the share
-of training tokens that occur once; a known word has its share of the rest.
-A state's failure arc costs the share of training pairs that occur once among
-states of like count (powers of two); what is left goes to its arcs by count.
-
-Defined cases: a null or empty text is its end token alone; a null doc_id is
-in no held-out fold; repeated rows are scored (and counted) each; with no
+texts are cut into blocks of bounded size; a block asks for the counts of the
+n-grams that it holds, so the part of the automaton that its texts can pass
+through comes to it. Requests are dealt out by ranges of hashes, with BLOCKS
+blocks' worth of keys in a range, and carry each key once a block, so a
+frequent word is no heavier than a rare one. A block sends a range one row, or
+none: rows are blocks times ranges while a block has keys for every range, and
+no more than there are keys beyond.
+
+Defined cases: a null or empty text is its end token alone; a text of any
+length is scored whole, a long one as a block by itself; a null doc_id is in
+no held-out fold; repeated rows are scored (and counted) each; with no
 training row every token is unknown; an empty table gives no row; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,19 +42,18 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, held_out, written
+from .common import columns_of, free, held_out, written
 
-#: Bytes of text in a block, about; a longer text is a block of its own.
-BLOCK_BYTES = 5 << 20
-CLASSES = 48
+#: Bytes of text in a block, about; a longer text is a block of its own. Blocks whose keys make up a range.
+BLOCK_BYTES, BLOCKS = 5 << 20, 4
 END, START = 0, 1
 BLOCK = "block long, train_tokens long, doc_ids array<bigint>, held array<boolean>, sizes array<int>, words binary, tokens binary"
-REQUEST = "bucket int, block long, n_words int, n_pairs int, keys binary, counts binary"
-ANSWER = "block long, bucket int, n_words int, counts binary, types long, once long"
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, arcs double, followed array<int>, failed array<int>, pairs array<int>, single_pairs array<int>"
+REQUEST = "bucket int, block long, lengths array<int>, keys binary, counts binary"
+ANSWER = "block long, bucket int, lengths array<int>, counts binary, types long"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def squeezed(x: np.ndarray) -> bytes:
@@ -108,142 +116,142 @@ def _blocks(docs: DataFrame, folds: int, fold: int) -> DataFrame:
 
 
 class Block:
-    """The tokens of a block, and its distinct words and pairs in order of their keys."""
+    """The tokens of a block, and its distinct n-grams of each length in order of their keys."""
 
-    def __init__(self, held: list[bool], sizes: list[int], words: bytes, tokens: bytes):
-        self.words, self.tokens = expanded(words, np.uint64), expanded(tokens, np.int32)
+    def __init__(self, order: int, held: list[bool], sizes: list[int], words: bytes, tokens: bytes):
+        word_keys, self.tokens = expanded(words, np.uint64), expanded(tokens, np.int32).astype(np.int64)
         self.sizes = np.array(sizes, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.trained = np.repeat(~np.array(held, bool), self.sizes)
-        start = int(np.searchsorted(self.words, np.uint64(xxhash.xxh3_64_intdigest(b" "))))
-        self.before = np.empty_like(self.tokens)
-        self.before[1:] = self.tokens[:-1]
-        self.before[self.starts] = start
-        self.start = start
-        n = len(self.words)
-        codes, self.pair = np.unique(self.before.astype(np.int64) * n + self.tokens, return_inverse=True)
-        with np.errstate(over="ignore"):
-            x = self.words[codes // n] * np.uint64(0x9E3779B97F4A7C15) ^ (self.words[codes % n] + np.uint64(0x632BE59BD9B4E019))
-            for shift in (32, 29):
-                x = (x ^ (x >> np.uint64(shift))) * np.uint64(0xD6E8FEB86659FD93)
-        x >>= np.uint64(8)  # 56 bits take less room and keep pairs apart
-        order = np.argsort(x, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.pairs, self.pair = x[order], rank[self.pair]
-
-    def buckets(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where the keys of each of n buckets start, for words and pairs."""
-        edges = np.arange(n + 1, dtype=np.float64) / n
-        cut = lambda keys, bits: np.append(np.searchsorted((keys >> np.uint64(bits - 32)).astype(np.float64), edges[:-1] * 2.0**32), len(keys))
-        return cut(self.words, 64), cut(self.pairs, 56)
-
-
-def _requests(blocks: DataFrame, buckets: int) -> DataFrame:
+        self.held = np.array(held, bool)
+        self.trained = np.repeat(~self.held, self.sizes)
+        self.start = int(np.searchsorted(word_keys, np.uint64(xxhash.xxh3_64_intdigest(b" "))))
+        place = np.arange(len(self.tokens)) - np.repeat(self.starts, self.sizes)
+        # by length: keys, which of them ends at each token, which of one shorter ends before it (-1: none)
+        self.keys, self.at, self.context = [word_keys], [self.tokens], [np.full(len(self.tokens), -1)]
+        for length in range(2, order + 1):
+            before = np.concatenate([[0], self.at[-1][:-1]])
+            before[self.starts] = self.start if length == 2 else -1
+            before[place < length - 2] = -1
+            some = before >= 0
+            codes, which = np.unique(before[some] * len(word_keys) + self.tokens[some], return_inverse=True)
+            with np.errstate(over="ignore"):
+                x = self.keys[-1][codes // len(word_keys)] * np.uint64(0x9E3779B97F4A7C15) ^ (word_keys[codes % len(word_keys)] + np.uint64(0x632BE59BD9B4E019))
+                for shift in (32, 29):
+                    x = (x ^ (x >> np.uint64(shift))) * np.uint64(0xD6E8FEB86659FD93)
+            x >>= np.uint64(8)  # 56 bits take less room and keep n-grams apart
+            by_key = np.argsort(x, kind="stable")
+            rank = np.empty(len(by_key), np.int64)
+            rank[by_key] = np.arange(len(by_key))
+            at = np.full(len(self.tokens), -1)
+            at[some] = rank[which]
+            self.keys.append(x[by_key])
+            self.at.append(at)
+            self.context.append(before)
+
+    def counts(self) -> list[np.ndarray]:
+        """How often each n-gram ends in the training texts of the block, and how often the start does."""
+        out = []
+        for keys, at in zip(self.keys, self.at, strict=True):
+            some = self.trained & (at >= 0)
+            out.append(np.bincount(at[some], minlength=len(keys)).astype(np.uint32))
+        out[0][self.start] = (~self.held).sum()
+        return out
+
+    def cuts(self, n: int) -> list[np.ndarray]:
+        """Where the keys of each of n ranges start, for each length."""
+        edges = np.arange(n, dtype=np.float64) / n * 2.0**32
+        return [np.append(np.searchsorted((keys >> np.uint64(24 if k else 32)).astype(np.float64), edges), len(keys)) for k, keys in enumerate(self.keys)]
+
+    def scores(self, counts: list[np.ndarray], n: int, types: int, strength: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token whether it is known, its log probability at the root, and that of its step. counts: of
+        the n-grams of each length in all training texts."""
+        c = counts[0][self.tokens]
+        p = (c + 1) / (n + types + 1)
+        root = np.log10(p)
+        found = np.zeros(len(c), np.int8)  # the longest context whose state has an arc for the token
+        arcs, fails = [root], [np.zeros(len(c))]
+        for k in range(1, len(counts)):
+            c_arc, c_state = np.append(counts[k], 0)[self.at[k]], np.append(counts[k - 1], 0)[self.context[k]]  # -1: none
+            p = np.where(c_state > 0, (c_arc + strength * p) / (c_state + strength), p)
+            arcs.append(np.log10(p))
+            fails.append(np.log10(strength / (c_state + strength)))
+            found[c_arc > 0] = k
+        top = len(counts) - 1
+        state = np.minimum(np.concatenate([[0], found[:-1]]) + 1, top)  # where the arc of the token before leads
+        state[self.starts] = min(1, top) if counts[0][self.start] else 0
+        # no arc is missed: one with k tokens of context was reached by arcs with one less each
+        step = np.choose(found, arcs)
+        for k in range(1, len(counts)):
+            step += np.where((state >= k) & (found < k), fails[k], 0.0)
+        return c > 0, root, step
+
+
+def _requests(blocks: DataFrame, buckets: int, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary())
         for batch in batches:
-            for number, *parts in zip(*columns_of(batch, "block", "held", "sizes", "words", "tokens"), strict=True):
-                b = Block(*parts)
-                words = np.bincount(b.tokens[b.trained], minlength=len(b.words)).astype(np.uint32)
-                words[b.start] = (~np.array(parts[0], bool)).sum()  # times the start was a state
-                pairs = np.bincount(b.pair[b.trained], minlength=len(b.pairs)).astype(np.uint32)
-                at_w, at_p = b.buckets(buckets)
-                rows: tuple[list, ...] = ([], [], [], [], [], [])
+            for i in range(batch.num_rows):
+                (number,), *parts = columns_of(batch.slice(i, 1), "block", "held", "sizes", "words", "tokens")
+                b = Block(order, *(x[0] for x in parts))
+                counts, cuts = b.counts(), b.cuts(buckets)
+                rows: tuple[list, ...] = ([], [], [], [], [])
                 for k in range(buckets):
-                    w, p = slice(at_w[k], at_w[k + 1]), slice(at_p[k], at_p[k + 1])
-                    if w.start < w.stop or p.start < p.stop:
-                        counts = np.concatenate([words[w], pairs[p]])
-                        values = (k, number, w.stop - w.start, p.stop - p.start, _keys(b.words[w], b.pairs[p]), squeezed(counts))
+                    part = [slice(cut[k], cut[k + 1]) for cut in cuts]
+                    lengths = [int(s.stop - s.start) for s in part]
+                    if any(lengths):
+                        keys = squeezed(np.concatenate([x[s] for x, s in zip(b.keys, part, strict=True)]))  # where a length begins, the difference wraps around
+                        values = (k, number, lengths, keys, squeezed(np.concatenate([x[s] for x, s in zip(counts, part, strict=True)])))
                         for column, x in zip(rows, values, strict=True):
                             column.append(x)
-                types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["bucket", "block", "n_words", "n_pairs", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["bucket", "block", "lengths", "keys", "counts"])
 
     return blocks.select("block", "held", "sizes", "words", "tokens").mapInArrow(run, REQUEST)
 
 
-def _keys(words: np.ndarray, pairs: np.ndarray) -> bytes:
-    return squeezed(np.concatenate([words, pairs]))  # where the pairs begin, the difference wraps around
+def _split(x: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
+    return np.split(x, np.cumsum(lengths)[:-1])
 
 
-def _answers(requests: DataFrame) -> DataFrame:
+def _answers(requests: DataFrame, order: int) -> DataFrame:
     start = np.uint64(xxhash.xxh3_64_intdigest(b" "))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = [expanded(k, np.uint64) for k in rows["keys"]]
-        counts = [expanded(c, np.uint32) for c in rows["counts"]]
-        totals, stats = [], [0, 0]
-        for part in (0, 1):  # words, then pairs
-            cut = [slice(0, n) if part == 0 else slice(n, None) for n in rows["n_words"]]
-            some = [k[s] for k, s in zip(keys, cut, strict=True)]
-            distinct, at = np.unique(np.concatenate(some), return_inverse=True)
-            sums = np.bincount(at, weights=np.concatenate([c[s] for c, s in zip(counts, cut, strict=True)]), minlength=len(distinct))
-            if part == 0:
-                seen = (sums > 0) & (distinct != start)
-                stats = [int(seen.sum()), int((seen & (sums == 1)).sum())]
-            totals.append(np.split(sums[at].astype(np.uint64).astype(np.int64), np.cumsum([len(s) for s in some])[:-1]))
+        lengths = [list(x) for x in rows["lengths"]]
+        keys = [_split(expanded(k, np.uint64), n) for k, n in zip(rows["keys"], lengths, strict=True)]
+        counts = [_split(expanded(c, np.uint32), n) for c, n in zip(rows["counts"], lengths, strict=True)]
+        totals, types = [], 0
+        for k in range(order):
+            distinct, at = np.unique(np.concatenate([x[k] for x in keys]), return_inverse=True)
+            sums = np.bincount(at, weights=np.concatenate([c[k] for c in counts]), minlength=len(distinct)).astype(np.int64)
+            if k == 0:
+                types = int(((sums > 0) & (distinct != start)).sum())
+            totals.append(np.split(sums[at], np.cumsum([n[k] for n in lengths])[:-1]))
         data = [squeezed(np.concatenate(x)) for x in zip(*totals, strict=True)]
-        first = [1] + [0] * (len(rows) - 1)
-        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "n_words": rows["n_words"], "counts": data, "types": [stats[0] * f for f in first], "once": [stats[1] * f for f in first]})
+        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "lengths": rows["lengths"], "counts": data, "types": [types] + [0] * (len(rows) - 1)})
 
     return written(requests.groupBy("bucket").applyInPandas(run, ANSWER), "lm-answers")
 
 
-def _scored(blocks: DataFrame, answers: DataFrame, n: int, types: int, once: int) -> DataFrame:
-    unknown = (once + 1) / (n + 2)
-    empty = pd.DataFrame({c.split()[0]: [] for c in SCORED.split(", ")})
+def score(docs: DataFrame, folds: int = 7, fold: int = 2, order: int = 3, strength: float = 2.0) -> DataFrame:
+    """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (at the root), score. The
+    rows whose id leaves remainder fold don't teach. order: tokens of the longest n-gram."""
+    if order < 1 or strength <= 0:
+        raise ValueError("order must be 1 at least and strength positive")
+    blocks = _blocks(docs, folds, fold)
+    size = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.sum("train_tokens").alias("n")).first()
+    n, buckets = size["n"] or 0, max(4, -(-size["blocks"] // BLOCKS))
+    answers = _answers(_requests(blocks, buckets, order), order)
+    free(docs.sparkSession)
+    types = answers.agg(F.sum("types")).first()[0] or 0
 
     def run(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(block):
-            return empty
         row = block.iloc[0]
-        held = list(row["held"])
-        b = Block(held, list(row["sizes"]), row["words"], row["tokens"])
+        b = Block(order, list(row["held"]), list(row["sizes"]), row["words"], row["tokens"])
         found = answers.sort_values("bucket")
-        counts = [expanded(c, np.int64) for c in found["counts"]]
-        words = np.concatenate([c[:k] for c, k in zip(counts, found["n_words"], strict=True)])
-        pairs = np.concatenate([c[k:] for c, k in zip(counts, found["n_words"], strict=True)])
-        c, state, both = words[b.tokens], words[b.before], pairs[b.pair]
-        root = np.log10(np.where(c > 0, c / max(n, 1) * (1 - unknown), unknown))
-        arc = both > 0
-        log = np.where(arc, np.log10(np.maximum(both, 1) / np.maximum(state, 1)), root)
-        kind = np.minimum(CLASSES - 1, np.frexp(np.maximum(state, 1).astype(float))[1])
+        parts = [_split(expanded(c, np.int64), list(k)) for c, k in zip(found["counts"], found["lengths"], strict=True)]
+        known, root, step = b.scores([np.concatenate(x) for x in zip(*parts, strict=True)], n, types, strength)
         doc = np.repeat(np.arange(len(b.sizes)), b.sizes)
-        known = state > 0  # an unknown word is no state: the traversal is at the root already
-        table = lambda mask: np.bincount(doc[mask] * CLASSES + kind[mask], minlength=len(b.sizes) * CLASSES).reshape(-1, CLASSES).astype(np.int32)
         sums = lambda x: np.bincount(doc, weights=x, minlength=len(b.sizes))
-        return pd.DataFrame(
-            {
-                "doc_id": pd.array(list(row["doc_ids"]), "Int64"),
-                "held_out": held,
-                "n_tokens": b.sizes,
-                "n_known": sums(c > 0).astype(np.int64),
-                "base_score": sums(np.log10((c + 1) / (n + types + 1))),
-                "arcs": sums(log),
-                "followed": list(table(arc)),
-                "failed": list(table(known & ~arc)),
-                "pairs": list(table(known & b.trained)),
-                "single_pairs": list(table(known & b.trained & (both == 1))),
-            }
-        )
-
-    return written(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, SCORED), "lm-scored")
-
-
-def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
-    """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. The rows whose
-    id leaves remainder fold don't teach."""
-    blocks = _blocks(docs, folds, fold)
-    size = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.sum("train_tokens").alias("n")).first()
-    n = size["n"] or 0
-    answers = _answers(_requests(blocks, max(4, size["blocks"])))  # a bucket has about as many keys as a block
-    totals = answers.agg(F.sum("types").alias("types"), F.sum("once").alias("once")).first()
-    scored = _scored(blocks, answers, n, totals["types"] or 0, totals["once"] or 0)
-    sums = scored.agg(*(F.sum(F.col(c)[k]).alias(f"{c}{k}") for c in ("pairs", "single_pairs") for k in range(CLASSES))).first()
-    shares = [((sums[f"single_pairs{k}"] or 0) + 1) / ((sums[f"pairs{k}"] or 0) + 2) for k in range(CLASSES)]
-
-    def cost(counts: str, logs: list[float]) -> Column:
-        return F.aggregate(F.zip_with(counts, F.array(*map(F.lit, logs)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-
-    total = F.col("arcs") + cost("followed", [math.log10(1 - s) for s in shares]) + cost("failed", [math.log10(s) for s in shares])
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", total.alias("score"))
+        return pd.DataFrame({"doc_id": pd.array(list(row["doc_ids"]), "Int64"), "held_out": list(row["held"]), "n_tokens": b.sizes, "n_known": sums(known).astype(np.int64), "train_tokens": n, "base_score": sums(root), "score": sums(step)})
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, SCORED)

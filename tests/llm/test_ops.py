@@ -243,42 +243,67 @@ def test_jaccard_of_nothing(spark):
     assert jaccard.linked(odd_documents(spark).limit(0)).count() == 0
 
 
-def test_lm_scores(spark, monkeypatch):
+class ModelByForce:
+    """Counts of n-grams in dictionaries; a state is a tuple of tokens."""
+
+    def __init__(self, texts, order, strength):
+        self.order, self.strength = order, strength
+        self.seen, self.states, self.count = Counter(), Counter(), Counter()
+        for ws in texts:
+            self.count.update(ws)
+            padded = ["start", *ws]
+            for k in range(1, len(padded)):
+                for c in range(1, min(order - 1, k) + 1):
+                    self.seen[tuple(padded[k - c : k]), padded[k]] += 1
+                    self.states[tuple(padded[k - c : k])] += 1
+        self.n, self.v = sum(self.count.values()), len(self.count)
+
+    def prob(self, state, w):
+        if not state:
+            return (self.count[w] + 1) / (self.n + self.v + 1)
+        return (self.seen[state, w] + self.strength * self.prob(state[1:], w)) / (self.states[state] + self.strength)
+
+    def score(self, ws):
+        total, state = 0.0, ("start",)
+        for w in ws:
+            state = state[-(self.order - 1) :] if self.order > 1 else ()
+            while state and not self.states[state]:
+                state = state[1:]
+            history = (*state, w)
+            while state and not self.seen[state, w]:
+                total += math.log10(self.strength / (self.states[state] + self.strength))
+                state = state[1:]
+            total += math.log10(self.prob(state, w))
+            state = history
+        return total
+
+
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_lm_scores(spark, monkeypatch, order):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 100_000)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(odd_documents(spark).select("doc_id", "text"))
     rows = docs.collect()
-    count, pairs, state = Counter(), Counter(), Counter()
     split = [(r.text or "").encode().lower().split() + [None] for r in rows]
     out = [r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in rows]
-    for ws, held in zip(split, out, strict=True):
-        if not held:
-            count.update(ws)
-            pairs.update(zip(["start", *ws], ws, strict=False))
-            state["start"] += 1
-    state += count
-    n, v = sum(count.values()), len(count)
-    unknown = (sum(c == 1 for c in count.values()) + 1) / (n + 2)
-    total, single = Counter(), Counter()
-    for (h, _), c in pairs.items():
-        total[state[h].bit_length()] += c
-        single[state[h].bit_length()] += c == 1
-
-    def scored(ws):
-        s = 0.0
-        for h, w in zip(["start", *ws], ws, strict=False):
-            share = (single[state[h].bit_length()] + 1) / (total[state[h].bit_length()] + 2)
-            if pairs[h, w]:
-                s += math.log10((1 - share) * pairs[h, w] / state[h])
-            else:
-                s += (math.log10(share) if state[h] else 0) + math.log10(count[w] / n * (1 - unknown) if count[w] else unknown)
-        return s
-
-    wanted = sorted((r.doc_id or -1, held, len(ws), sum(count[w] > 0 for w in ws), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), 6), round(scored(ws), 6)) for r, ws, held in zip(rows, split, out, strict=True))
-    got = sorted((r[0] or -1, *r[1:5], round(r[5], 6), round(r[6], 6)) for r in map(tuple, lm.score(docs).collect()))
+    model = ModelByForce([ws for ws, held in zip(split, out, strict=True) if not held], order, 2.0)
+    wanted = sorted((r.doc_id or -1, held, len(ws), sum(model.count[w] > 0 for w in ws), model.n, sum(math.log10(model.prob((), w)) for w in ws), model.score(ws)) for r, ws, held in zip(rows, split, out, strict=True))
+    got = sorted((r[0] or -1, *r[1:]) for r in map(tuple, lm.score(docs, order=order).collect()))
     assert len(got) == len(wanted)
     for a, b in zip(got, wanted, strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-5)
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    texts = ["a b a c a b", "b a b", "a", "", None, "c c c b"]
+    types = ["a", "b", "c", None, "unknown"]
+    model = ModelByForce([(t or "").split() + [None] for t in texts], 3, 2.0)
+    for state in [(), ("start",), ("a",), ("a", "b"), ("start", "a"), ("c", "c")]:
+        assert sum(model.prob(state, w) for w in types) == pytest.approx(1)
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    assert sorted(r.score for r in lm.score(docs).collect()) == pytest.approx(sorted(model.score((t or "").split() + [None]) for t in texts))
     assert lm.score(docs.limit(0)).count() == 0
+    held = spark.createDataFrame([(next(k for k in range(99) if zlib.crc32(str(k).encode()) % 7 == 2), "a b")], "doc_id long, text string")
+    assert [tuple(r)[1:] for r in lm.score(held).collect()] == [(True, 3, 0, 0, 0.0, 0.0)]
 
 
 def base_counts(text):
