@@ -3,13 +3,16 @@
 Each language has a probability for every piece of a fixed public vocabulary.
 A word's probability is the sum over all ways to cut it into pieces, which a
 forward pass over its characters gives; a text's is the product over its
-words. Piece probabilities come from a bounded sample of labelled documents
-by expectation maximisation over the same sums.
+words. Sums of words of any length are kept in range by rescaling, for each
+word and language by itself. Piece probabilities come from a bounded sample of
+labelled documents by expectation maximisation over the same sums, there over
+words of STRETCH characters at most (longer ones are cut to be learnt from).
 
 Defined cases: a null text, or one without a letter, is `und` with score 0;
-rows with a null language or id don't teach; repeated rows are predicted
-each; ties go to the language that sorts first; an empty table gives no row;
-other columns are ignored.
+texts of any length are scored whole; rows with a null language or id don't
+teach; more languages than Learning.languages are an error; rows that repeat
+an id, or have none, are predicted each; ties go to the language that sorts
+first; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +30,14 @@ from pyspark.sql import functions as F
 from .common import columns_of, held_out, slices
 
 UNKNOWN = "und"
-#: Longer words are cut into stretches of so many characters, so that no product underflows.
+#: Longer words are cut into stretches of so many characters to be learnt from.
 STRETCH = 48
-#: Words that a worker keeps at most.
-KEPT = 600_000
+#: Bytes of words and their sums that a worker keeps, about.
+KEPT_BYTES = 64 << 20
+#: A sum below TINY is multiplied by 1 / TINY; looked at every AFTER characters, of which each costs 1e-9 at most.
+TINY, AFTER = 1e-100, 8
+#: Characters of words of one length whose sums are worked out together.
+TOGETHER = 400_000
 #: Words of a stretch whose language is compared with the text's.
 STEP = 3
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -40,8 +47,8 @@ _BREAKS = str.maketrans({chr(c): " " for c in range(128) if not chr(c).isalpha()
 
 @dataclass(frozen=True)
 class Learning:
-    """docs_per_language and chars_per_doc bound the sample that is learnt from, languages their number;
-    rounds: of expectation maximisation; smoothing: added to each piece's expected count."""
+    """docs_per_language and chars_per_doc bound the sample that is learnt from; languages: how many there may be
+    (the model has a number for each piece and language and goes to every worker); rounds: of expectation maximisation; smoothing: added to each piece's expected count."""
 
     docs_per_language: int = 300
     chars_per_doc: int = 20_000
@@ -96,23 +103,38 @@ class Pieces:
         with np.errstate(over="ignore"):
             return (x * self.powers[: len(x)][::-1]).sum(dtype=np.uint64)
 
-    def ending(self, words: list[str]) -> dict[tuple[int, int], np.ndarray]:
+    def ending(self, words: list[str]) -> Ending:
         """For words of one length: by (end, length) the piece of each word, n if it is none."""
-        size = len(words[0])
-        codes = self._mixed(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)).reshape(-1, size)
-        found = {}
-        running: dict[int, np.ndarray] = {}
+        return Ending(self, words)
+
+
+class Ending(dict):
+    """The pieces that end at each character: of all at once, or of one after another as advance() is called."""
+
+    def __init__(self, pieces: Pieces, words: list[str], window: bool = False):
+        super().__init__()
+        self.pieces, self.size, self.window = pieces, len(words[0]), window
+        self.codes = pieces._mixed(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)).reshape(-1, self.size)
+        self.running: dict[int, np.ndarray] = {}
+        self.end = 0
+        if not window:
+            while self.end < self.size:
+                self.advance()
+
+    def advance(self) -> None:
+        p = self.pieces
+        if self.window:
+            self.clear()
+        self.end = end = self.end + 1
         with np.errstate(over="ignore"):
-            for end in range(1, size + 1):
-                c = codes[:, end - 1]
-                running = {start: h * _BASE + c for start, h in running.items() if end - start <= self.longest}
-                running[end - 1] = c
-                for start, h in running.items():
-                    if end - start in self.lengths:
-                        at = np.searchsorted(self.sorted, h)
-                        at[at == self.n] = 0
-                        found[end, end - start] = np.where(self.sorted[at] == h, self.order[at], self.n)
-        return found
+            c = self.codes[:, end - 1]
+            self.running = {start: h * _BASE + c for start, h in self.running.items() if end - start <= p.longest}
+            self.running[end - 1] = c
+            for start, h in self.running.items():
+                if end - start in p.lengths:
+                    at = np.searchsorted(p.sorted, h)
+                    at[at == p.n] = 0
+                    self[end, end - start] = np.where(p.sorted[at] == h, p.order[at], p.n)
 
 
 def forward(pieces: Pieces, words: list[str], probs: np.ndarray, ending: dict | None = None) -> list[np.ndarray]:
@@ -129,6 +151,27 @@ def forward(pieces: Pieces, words: list[str], probs: np.ndarray, ending: dict |
     return alpha
 
 
+def log_sums(pieces: Pieces, words: list[str], probs: np.ndarray) -> np.ndarray:
+    """For words of one length, the logarithm of what all segmentations sum to in each language."""
+    size, shape = len(words[0]), (len(words), probs.shape[1])
+    ending, scale = Ending(pieces, words, window=True), np.zeros(shape)
+    alpha = {0: np.ones(shape)}  # by end; only those that a piece can still start from
+    for end in range(1, size + 1):
+        total = np.zeros(shape)
+        ending.advance()
+        for length in pieces.lengths:
+            if length <= end:
+                at = ending[end, length]
+                total += alpha[end - length] * (_single(at, probs) if length == 1 else probs[at])
+        alpha[end] = total
+        alpha.pop(end - pieces.longest, None)
+        if end % AFTER == 0 and (low := total < TINY).any():
+            scale[low] += np.log(TINY)
+            for a in alpha.values():
+                a[low] /= TINY
+    return np.log(alpha[size]) + scale
+
+
 def _single(at: np.ndarray, probs: np.ndarray) -> np.ndarray:
     out = probs[at]
     out[at == len(probs) - 1] = 1e-9
@@ -139,7 +182,7 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
     """Words in groups of one length, and their places."""
     sizes = np.array([len(w) for w in words])
     for size in np.unique(sizes):
-        for at in np.array_split(np.flatnonzero(sizes == size), max(1, (sizes == size).sum() // 20_000)):
+        for at in np.array_split(np.flatnonzero(sizes == size), max(1, (sizes == size).sum() * size // TOGETHER)):
             yield at, [words[k] for k in at]
 
 
@@ -178,24 +221,24 @@ class Scorer:
         self.pieces, self.probs = Pieces(pieces), probs
         self.at: dict[str, int] = {}
         self.logs = np.zeros((0, probs.shape[1]))
+        self.held = 0
 
     def words(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, int]]:
         """For each text a row for each word, and their characters."""
         split = [words_of(t) if t else [] for t in texts]
         new = list({w for ws in split for w in ws if w not in self.at})
-        if len(self.at) + len(new) > KEPT:
-            self.at, self.logs = {}, self.logs[:0]
+        size = lambda ws: sum(2 * len(w) for w in ws) + (150 + 8 * self.probs.shape[1]) * len(ws)
+        if self.held + size(new) > KEPT_BYTES and self.at:
+            self.at, self.logs, self.held = {}, self.logs[:0], 0
             new = list({w for ws in split for w in ws})
         if new:
-            parts = [_stretches(w) for w in new]
-            owner = np.repeat(np.arange(len(new)), [len(p) for p in parts])
-            flat = [s for p in parts for s in p]
             logs = np.zeros((len(new), self.probs.shape[1]))
-            for at, ws in by_length(flat):
-                np.add.at(logs, owner[at], np.log(np.maximum(forward(self.pieces, ws, self.probs)[-1], 1e-300)))
+            for at, ws in by_length(["▁" + w for w in new]):
+                logs[at] = log_sums(self.pieces, ws, self.probs)
             start = len(self.logs)
             self.logs = np.concatenate([self.logs, logs])
             self.at.update(zip(new, range(start, start + len(new)), strict=True))
+            self.held += size(new)
         get = self.at.__getitem__
         for ws in split:
             yield self.logs[np.fromiter(map(get, ws), np.int64, len(ws))], sum(map(len, ws))
@@ -236,7 +279,9 @@ def levels_of(samples: dict[str, Counter], scorer: Scorer) -> np.ndarray:
 def _sample(docs: DataFrame, how: Learning) -> dict[str, Counter]:
     """Word counts by language of a bounded sample: the documents whose hashed ids are smallest, about."""
     taught = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), how.folds, how.fold))
-    sizes = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(how.languages).collect()}
+    sizes = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(how.languages + 1).collect()}
+    if len(sizes) > how.languages:
+        raise ValueError(f"more than {how.languages} languages; raise Learning.languages if there is memory for the model")
     if not sizes:
         return {}
     spark = docs.sparkSession
