@@ -20,12 +20,13 @@ a line alike, shifted by edits at most, and all pairs that share one are measure
 Defined cases: a null or empty text has no lines; lines shorter than
 min_chars (white space at both ends left out) go if an earlier one is equal
 and they have exact_chars characters or more, and else always stay (all of
-them do where exact_chars is None); a null doc_id
-comes after all others; rows that repeat an id and a line at the same number
-are the same line and stay or go together, unless row names a column that
-numbers the rows: it comes after doc_id in the order, and each row's lines are
-its own; an empty table gives no row; other
-columns stay as they are in drop_lines() and are ignored in line_report().
+them do where exact_chars is None); lines of any length are compared whole; a
+null doc_id comes after all others; rows that share an id (or have none) are
+in the order of a hash of their texts, and rows that repeat both are the same
+row and keep the same lines, unless row names a column that numbers the rows:
+it then stands for the hash, and each row's lines are its own; an empty table
+gives no row; other columns stay as they are in drop_lines() and are ignored
+in line_report().
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ MIN_CHARS = 16
 #: Keys are broadcast up to this size, and joined by a shuffle beyond it.
 BROADCAST_BYTES = 32 << 20
 BLANK = " \t\n\r\x0b\x0c"
+#: Stands for a row number where none is named.
+TEXT_HASH = "__line_text_hash"
 
 
 def _split(text: Column) -> Column:
@@ -150,27 +153,34 @@ def _settled(distinct: DataFrame, texts: DataFrame, pairs: DataFrame, edits: int
     return distinct.join(gone.select("id"), "id", "left_anti").select("at"), gone
 
 
-def _kept(docs: DataFrame, *how) -> DataFrame:
-    stay, _ = duplicate_lines(docs, *how)
-    row = how[1]
-    return stay.groupBy(F.col("at")[row or "doc_id"].alias("id_of")).agg(F.sort_array(F.collect_list("at.no")).alias("firsts"))
+def _named(docs: DataFrame, row: str | None) -> tuple[DataFrame, str]:
+    """docs with a column that tells rows of one id apart, and its name."""
+    return (docs, row) if row else (docs.withColumn(TEXT_HASH, F.xxhash64("text")), TEXT_HASH)
+
+
+def _kept(docs: DataFrame, min_chars: int, row: str, exact_chars: int | None, edits: int) -> DataFrame:
+    """Of rows with lines that stay: __of_id, __of_row, __firsts (the lines' numbers)."""
+    stay, _ = duplicate_lines(docs, min_chars, row, exact_chars, edits)
+    return stay.groupBy(F.col("at.doc_id").alias("__of_id"), F.col("at")[row].alias("__of_row")).agg(F.sort_array(F.collect_list("at.no")).alias("__firsts"))
 
 
 def line_report(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None, edits: int = 1) -> DataFrame:
     """A row per document: doc_id, n_lines, n_long (lines that may go), kept_lines (numbers, from 0, of those
     of them that stay)."""
+    docs, row = _named(docs, None)
     lines = F.transform(_split(F.col("text")), lambda x: F.length(F.btrim(x, F.lit(BLANK))))
-    counts = docs.select("doc_id", F.when(F.length(F.coalesce("text", F.lit(""))) > 0, F.size(lines)).otherwise(0).cast("long").alias("n_lines"), F.size(F.filter(lines, lambda n: n >= _least(min_chars, exact_chars))).cast("long").alias("n_long"))
-    kept = _kept(docs, min_chars, None, exact_chars, edits)
-    joined = counts.join(kept, F.col("doc_id").eqNullSafe(F.col("id_of")), "left")
-    return joined.select("doc_id", "n_lines", "n_long", F.coalesce("firsts", F.array().cast("array<int>")).alias("kept_lines"))
+    counts = docs.select("doc_id", row, F.when(F.length(F.coalesce("text", F.lit(""))) > 0, F.size(lines)).otherwise(0).cast("long").alias("n_lines"), F.size(F.filter(lines, lambda n: n >= _least(min_chars, exact_chars))).cast("long").alias("n_long"))
+    kept = _kept(docs, min_chars, row, exact_chars, edits)
+    joined = counts.join(kept, F.col("doc_id").eqNullSafe(F.col("__of_id")) & (F.col(row) == F.col("__of_row")), "left")
+    return joined.select("doc_id", "n_lines", "n_long", F.coalesce("__firsts", F.array().cast("array<int>")).alias("kept_lines"))
 
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, row: str | None = None, exact_chars: int | None = None, edits: int = 1) -> DataFrame:
     """docs without the lines that go; a document all of whose lines go has an empty text, and a null text
     stays null."""
-    kept = _kept(docs, min_chars, row, exact_chars, edits).withColumnsRenamed({"id_of": "__id_of", "firsts": "__firsts"})
-    joined = docs.join(kept, docs[row or "doc_id"].eqNullSafe(F.col("__id_of")), "left")
+    columns, (docs, row) = docs.columns, _named(docs, row)
+    kept = _kept(docs, min_chars, row, exact_chars, edits)
+    joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__of_id")) & (docs[row] == F.col("__of_row")), "left")
     stays = lambda line, no: (F.length(F.btrim(line, F.lit(BLANK))) < _least(min_chars, exact_chars)) | F.coalesce(F.array_contains("__firsts", no), F.lit(False))
     text = F.when(docs["text"].isNotNull(), F.array_join(F.filter(_split(docs["text"]), stays), "\n"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    return joined.withColumn("text", text).select(*columns)
