@@ -11,7 +11,12 @@ the total length and decodes chunked framing.
 Defined cases: a null html is an empty payload; a null url is an empty target
 URI; rows that repeat a page_id are a record each, and of equal payloads with
 the same largest page_id one is the response; a null page_id comes before all
-others; an empty table gives no row; other columns are ignored.
+others; payloads of any length are cut and joined whole, in time that grows
+with their length; an empty table gives no row; other columns are ignored. In
+archives by others, records that are neither responses nor revisits nor their
+continuations are passed over, a record without a digest gets one and one
+without a page id has null; a revisit whose response lies elsewhere has
+payload_bytes null.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ from .common import columns_of, written
 
 DIGEST = "sha1:"
 HEADER = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
+#: What a record's head takes, about.
+HEAD_BYTES = 500
 RECORD = "name string, number long, record_id string, kind string, page_id long, uri string, digest string, refers_to string, origin string, segment int, total long, body binary"
 
 
@@ -80,23 +87,33 @@ def record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return z.compress(head.encode() + block + b"\r\n\r\n") + z.flush()
 
 
+def members(data: bytes, step: int = 4096) -> Iterator[bytes]:
+    """What each gzip member of a file holds; no more than a step of the file is looked at twice."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof and at < len(view):
+            part = view[at : at + step]
+            parts.append(z.decompress(part))
+            at += len(part) - len(z.unused_data)
+        yield b"".join(parts) + z.flush()
+
+
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (names in lower case) and block of each record of a .warc.gz file."""
-    while data:
-        z = zlib.decompressobj(31)
-        plain = z.decompress(data) + z.flush()
-        data = z.unused_data
-        while plain:
-            head, _, rest = plain.partition(b"\r\n\r\n")
-            first, *lines = head.decode().split("\r\n")
+    for plain in members(data):
+        at = 0
+        while at < len(plain):
+            end = plain.find(b"\r\n\r\n", at)
+            first, *lines = plain[at : end if end >= 0 else None].decode().split("\r\n")
             if not first.startswith("WARC/"):
                 raise ValueError("not a WARC record")
             fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-            n = int(fields["content-length"])
-            if len(rest) < n:
+            n, start = int(fields["content-length"]), end + 4
+            if end < 0 or len(plain) - start < n:
                 raise ValueError("record is shorter than its length")
-            yield fields, rest[:n]
-            plain = rest[n + 4 :]
+            yield fields, plain[start : start + n]
+            at = start + n + 4
 
 
 def _id(*parts: object) -> str:
@@ -140,7 +157,7 @@ def write_archives(pages: DataFrame, how: Writing = Writing()) -> DataFrame:
                     for k, part in enumerate(parts[1:], 2):
                         last = [("WARC-Segment-Total-Length", len(block))] if k == len(parts) else []
                         made.append(record([("WARC-Type", "continuation"), ("WARC-Record-ID", _id(row, k)), ("WARC-Date", how.date), ("WARC-Target-URI", uri), ("WARC-Segment-Origin-ID", me), ("WARC-Segment-Number", k), *last], part))
-                held += len(payload)
+                held += len(payload) + HEAD_BYTES
                 if held >= how.archive_bytes:
                     yield archive()
                     made, held, name = [], 0, None
@@ -180,12 +197,20 @@ def reassemble(found: DataFrame) -> DataFrame:
         F.max("total").alias("total"),
         F.array_sort(F.collect_list(F.struct("segment", "body"))).alias("parts"),
     )
-    block = F.aggregate("parts.body", F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b))
-    complete = joined.withColumn("block", block).withColumn("numbers", F.col("parts.segment"))
-    ok = (F.length("block") == F.col("total")) & (F.col("numbers") == F.sequence(F.lit(1), F.size("parts")))
-    said = F.concat(F.lit("segments of "), F.col("of"), F.lit(" don't make up its total length"))
-    checked = complete.select(F.col("of").alias("record_id"), "kind", "page_id", "uri", "digest", "refers_to", F.when(F.coalesce(ok, F.lit(False)), F.col("block")).otherwise(F.raise_error(said).cast("binary")).alias("block"))
-    return whole.unionByName(checked)
+    schema = "record_id string, kind string, page_id long, uri string, digest string, refers_to string, block binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (of,), (total,), (parts,) = columns_of(batch.slice(k, 1), "record_id", "total", "parts")
+                block = b"".join(p["body"] for p in parts)
+                if len(block) != total or [p["segment"] for p in parts] != list(range(1, len(parts) + 1)):
+                    raise ValueError(f"segments of {of} don't make up its total length")
+                head = batch.slice(k, 1).select(["record_id", "kind", "page_id", "uri", "digest", "refers_to"])
+                yield head.append_column("block", pa.array([block], pa.binary()))
+
+    named = joined.select(F.col("of").alias("record_id"), "kind", "page_id", "uri", "digest", "refers_to", "total", "parts")
+    return whole.unionByName(named.mapInArrow(run, schema))
 
 
 def read_pages(archives: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -198,8 +223,9 @@ def read_pages(archives: DataFrame, with_payload: bool = False) -> DataFrame:
             rows: tuple[list, ...] = ([], [], [], [], [], [], [])
             for me, page, kind, refers, digest, block in zip(*columns_of(batch, "record_id", "page_id", "kind", "refers_to", "digest", "block"), strict=True):
                 payload = http_payload(block) if kind == "response" else None
-                own = digest.removeprefix(DIGEST)
-                if payload is not None and base64.b32encode(hashlib.sha1(payload).digest()).decode() != own:
+                found = None if payload is None else base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                own = found if digest is None else digest.removeprefix(DIGEST)
+                if found is not None and found != own and (digest or "").startswith(DIGEST):
                     raise ValueError(f"payload of {me} differs from its digest")
                 for column, x in zip(rows, (me, page, kind, refers, None if payload is None else len(payload), own, payload), strict=True):
                     column.append(x)
@@ -207,11 +233,11 @@ def read_pages(archives: DataFrame, with_payload: bool = False) -> DataFrame:
             names = ["record_id", "page_id", "kind", "refers_id", "payload_bytes", "payload_digest", "payload"][: 6 + with_payload]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=False)], names=names)
 
-    rows = written(reassemble(parse(archives)).mapInArrow(run, schema), "warc-pages")
+    rows = written(reassemble(parse(archives)).where("kind IN ('response', 'revisit')").mapInArrow(run, schema), "warc-pages")
     also = ["payload"] * with_payload
     responses = rows.where("kind = 'response'")
     sizes = responses.select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("n"))
-    revisits = rows.where("kind = 'revisit'").join(sizes, "refers_id").select("record_id", "page_id", F.col("n").alias("payload_bytes"), "payload_digest", F.col("kind").alias("record_type"), "refers_to", *also)
+    revisits = rows.where("kind = 'revisit'").join(sizes, "refers_id", "left").select("record_id", "page_id", F.col("n").alias("payload_bytes"), "payload_digest", F.col("kind").alias("record_type"), "refers_to", *also)
     return responses.select("record_id", "page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), *also).unionByName(revisits)
 
 
