@@ -1,25 +1,29 @@
 """Token counts by source, language and tokenizer version, kept up to date by deltas.
 
 A change inserts a document's count, deletes it or revises it. A batch of
-changes becomes signed sums, one row a group, which are committed under the
-batch's id; totals are the sums over committed batches, so they cost as much
-as there are groups, not documents. A batch is committed once: a batch whose
-id is there already changes nothing, so one that was tried again, or arrives
-twice, counts once. Sums are written aside and renamed into place, and only
-batches with Spark's success mark count.
+changes becomes signed sums, one row a group, which are added to the totals
+kept so far: a commit costs as much as its batch and the groups there are, not
+the documents or batches before it. A batch is committed once: totals and the
+ids of the batches in them are one version, a folder that is renamed into
+place and never overwritten. A batch whose id is in the latest version changes
+nothing, so one that was tried again, or arrives twice, counts once; of two
+commits at once, the one that finds its version taken starts again from that.
 
 Defined cases: a null source, language or version is a group of its own; a
-null count is 0; repeated changes in a batch count each; a batch without
-changes is committed too; groups whose documents and tokens are both 0 are
-left out of totals; other columns are ignored.
+null count is 0; a null text has no tokens and counts as a document, and texts
+of any length are counted whole; repeated rows and changes count each; a batch
+without changes is committed too, so empty tables are; groups whose documents
+and tokens are both 0 are left out of totals; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +32,19 @@ from .common import columns_of, new_path, written
 
 GROUP = ("source", "lang", "version")
 SUMS = "source string, lang string, version string, docs long, tokens long"
+#: Versions that stay for readers that began before the latest.
+READABLE = 3
+
+
+def version_of(file: str) -> str:
+    """A tokenizer file's name and a digest of what it holds."""
+    with open(file, "rb") as f:
+        return f"{os.path.basename(file)}-{hashlib.sha256(f.read()).hexdigest()[:12]}"
 
 
 def count_tokens(docs: DataFrame, file: str) -> DataFrame:
-    """doc_id, source, lang, version (the file's name) and n_tokens of each document; none for a null text."""
-    version = os.path.basename(file)
+    """doc_id, source, lang, version (version_of the file) and n_tokens of each document; none for a null text."""
+    version = version_of(file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(file, RankBpe)
@@ -61,44 +73,71 @@ def revisions(counts: DataFrame, new: str = "new_tokens") -> DataFrame:
 
 
 class Rollup:
-    """Totals in a folder that driver and executors share."""
+    """Totals in a folder that driver and executors share, on a file system that renames folders at once."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        self._fs = self._hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._hadoop = jvm.org.apache.hadoop.fs
+        at = self._hadoop.Path(self.path)
+        self._fs = at.getFileSystem(conf)
+        self._context = self._hadoop.FileContext.getFileContext(self._fs.makeQualified(at).toUri(), conf)
+        self._plain = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
 
     def _at(self, *parts: str):
         return self._hadoop.Path("/".join((self.path, *parts)))
 
-    def batches(self) -> list[str]:
-        """The ids of committed batches."""
+    def _versions(self) -> list[str]:
+        """Names of versions, the latest last."""
         if not self._fs.exists(self._at()):
             return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._at())]
-        return sorted(n.removeprefix("batch-") for n in names if n.startswith("batch-") and self._fs.exists(self._at(n, "_SUCCESS")))
+        return sorted(n for s in self._fs.listStatus(self._at()) if (n := s.getPath().getName()).startswith("version-"))
+
+    def batches(self) -> list[str]:
+        """The ids of committed batches."""
+        latest = self._versions()[-1:]
+        return sorted(r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/{latest[0]}/batches").collect()) if latest else []
+
+    def _publish(self, staged: str, version: str) -> bool:
+        """Rename a staged folder; False if the version is there already."""
+        try:
+            self._context.rename(self._fs.makeQualified(self._hadoop.Path(staged)), self._fs.makeQualified(self._at(version)), self._plain)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            return False
+        return True
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add the sums of changes (docs and tokens by group) under this id; False if the id is committed."""
         if not batch or "/" in batch or batch.startswith("."):
             raise ValueError(f"not a batch id: {batch!r}")
-        target = self._at(f"batch-{batch}")
-        if self._fs.exists(self._at(f"batch-{batch}", "_SUCCESS")):
-            return False
         sums = changes.groupBy(*(F.col(c).cast("string").alias(c) for c in GROUP)).agg(F.sum(F.coalesce("docs", F.lit(0))).cast("long").alias("docs"), F.sum(F.coalesce("tokens", F.lit(0))).cast("long").alias("tokens"))
-        aside = new_path(self.spark, "rollup-staged")
-        sums.write.parquet(aside)
-        self._fs.delete(target, True)  # what a failed attempt may have left
-        self._fs.mkdirs(self._at())
-        if not self._fs.rename(self._hadoop.Path(aside), target):
-            return False  # another attempt was first
-        return True
+        added = None
+        while True:
+            done = self.batches()
+            if batch in done:
+                return False
+            added = written(sums, "rollup-sums") if added is None else added
+            before = self._versions()[-1:]
+            totals = added.unionByName(self._totals(before[0])) if before else added
+            staged = new_path(self.spark, "rollup-staged")
+            totals.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{staged}/totals")
+            self.spark.createDataFrame([(x,) for x in [*done, batch]], "batch string").coalesce(1).write.parquet(f"{staged}/batches")
+            self._fs.mkdirs(self._at())
+            number = int(before[0].removeprefix("version-")) + 1 if before else 0
+            if self._publish(staged, f"version-{number:012d}"):
+                for old in self._versions()[:-READABLE]:
+                    self._fs.delete(self._at(old), True)
+                return True
+
+    def _totals(self, version: str) -> DataFrame:
+        return self.spark.read.schema(SUMS).parquet(f"{self.path}/{version}/totals")
 
     def totals(self) -> DataFrame:
-        """source, lang, version, docs, tokens over all committed batches."""
-        paths = [f"{self.path}/batch-{b}" for b in self.batches()]
-        sums = self.spark.read.schema(SUMS).parquet(*paths) if paths else self.spark.createDataFrame([], SUMS)
-        return sums.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
+        """source, lang, version, docs, tokens as of the latest version."""
+        latest = self._versions()[-1:]
+        return (self._totals(latest[0]) if latest else self.spark.createDataFrame([], SUMS)).where("docs <> 0 OR tokens <> 0")
 
 
 def rolled_up(docs: DataFrame, file: str) -> DataFrame:
