@@ -27,8 +27,8 @@ from .common import columns_of
 #: How the byte-level pre-tokenizer splits text; white space is Unicode's White_Space.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 NEVER = 1 << 40
-#: Entries that a worker keeps at most of each cache; a full cache is emptied.
-KEPT = 700_000
+#: Entries and bytes that a worker keeps of each cache, about; a full cache is emptied.
+KEPT, KEPT_BYTES = 500_000, 48 << 20
 #: Characters that are gathered before their new words go into a trie together.
 GATHERED = 4 << 20
 
@@ -82,6 +82,7 @@ class TrieBpe:
         self.fits: dict[tuple[int, int], bool] = {}
         self.word_ids: dict[bytes, bytes] = {}
         self.units: dict[str, bytes] = {}
+        self.held_words = self.held_units = 0
 
     def _fit(self, a: int, b: int, before: int = NEVER) -> bool:
         """Whether no merge (of a rank under before) crosses the border while a and b are built beside each
@@ -103,8 +104,10 @@ class TrieBpe:
         """Work out the ids of new words, in the trie's depth-first order."""
         ids, tails, fits, size = self.words, self.tails, self.fits, self.size
         path, last = b"", [-1]  # last[d]: the last token of the first d bytes of path
-        if len(self.word_ids) + len(words) > KEPT:
+        self.held_words += sum(map(len, words))
+        if len(self.word_ids) + len(words) > KEPT or self.held_words > KEPT_BYTES:
             self.word_ids.clear()
+            self.held_words = sum(map(len, words))
         if len(fits) > KEPT:
             fits.clear()
         for word in sorted(words):
@@ -146,13 +149,15 @@ class TrieBpe:
         new = {u for text in units for u in text if u not in self.units}
         if not new:
             return
-        if len(self.units) + len(new) > KEPT:
+        self.held_units += sum(map(len, new))
+        if len(self.units) + len(new) > KEPT or self.held_units > KEPT_BYTES:
             self.units.clear()
             new = {u for text in units for u in text}
+            self.held_units = sum(map(len, new))
         parts = {u: [w.encode() for w in self.split(u)] for u in new}
         fresh = {w for ws in parts.values() for w in ws if w not in self.word_ids}
-        if len(self.word_ids) + len(fresh) > KEPT:
-            fresh = {w for ws in parts.values() for w in ws}
+        if len(self.word_ids) + len(fresh) > KEPT or self.held_words + sum(map(len, fresh)) > KEPT_BYTES:
+            fresh = {w for ws in parts.values() for w in ws}  # encode_words() will empty the cache
         self.encode_words(fresh)
         got = self.word_ids
         for u, ws in parts.items():
@@ -214,12 +219,17 @@ class RankBpe:
             raise ValueError(f"ids in {file} don't follow its merges")
         ranks = {bytes(alphabet[c] for c in t): i for t, i in vocab.items()}
         self.encoding = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=specials)
-        self.specials = set(specials)
+        self.specials, self.file = set(specials), file
+
+    def _packed(self, text: str) -> bytes:
+        try:
+            return self.encoding.encode_to_numpy(text, allowed_special=self.specials).astype("<u4", copy=False).tobytes()
+        except ValueError:  # its splitting gives up on some very long runs
+            return load(self.file).encode_packed([text])[0]
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        encode, specials = self.encoding.encode_to_numpy, self.specials
-        return [encode(t, allowed_special=specials).astype("<u4", copy=False).tobytes() if t else b"" for t in texts]
+        return [self._packed(t) if t else b"" for t in texts]
 
 
 _loaded: dict[tuple[type, str], TrieBpe | RankBpe] = {}
