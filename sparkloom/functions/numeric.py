@@ -69,4 +69,6 @@ def draws(df: DataFrame, row: str, token: str, seed: int) -> DataFrame:
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row).cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 2**32
     w = Window.partitionBy(row).orderBy(token)
     upto = F.sum("prob").over(w) / F.sum("prob").over(Window.partitionBy(row))
-    return kept.withColumn("__upto", upto).where(F.col("__upto") > u).groupBy(row).agg(F.min_by(token, "__upto").alias(token))
+    drawn = F.min_by(token, F.when(F.col("__upto") > u, F.col("__upto")))
+    last = F.max_by(token, F.struct("__upto", token))  # where rounding leaves the whole sum below the number
+    return kept.withColumn("__upto", upto).groupBy(row).agg(F.when(F.max("__upto") > F.first(u), drawn).otherwise(last).alias(token))

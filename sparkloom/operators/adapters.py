@@ -28,7 +28,7 @@ def plain_text(df: DataFrame) -> Column:
 
 
 def classification_text(df: DataFrame) -> Column:
-    return _first(df, "text", "content")
+    return F.nullif(_first(df, "text", "content"), F.lit(""))
 
 
 def instruction_input_output(df: DataFrame) -> Column:

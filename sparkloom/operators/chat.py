@@ -101,6 +101,24 @@ def marked(df: DataFrame, messages: str, order: list[str]) -> DataFrame:
     return joined.withColumn("skip_reason", reason).drop("__valid", "__key", "__first")
 
 
+def skip_stats(df: DataFrame) -> DataFrame:
+    """Examples by outcome (column skip_reason, null where kept): outcome, n, a row for each, zeros included."""
+    names = ["kept", "invalid", "duplicate", "too_long"]
+    one = df.agg(*(F.count_if(F.coalesce("skip_reason", F.lit("kept")) == n).alias(n) for n in names))
+    return one.unpivot([], names, "outcome", "n")
+
+
+def surviving_pairs(df: DataFrame, chosen: str, rejected: str, longest: int) -> DataFrame:
+    """Preference rows both of whose sides (structs of ids and mask) fit, as the six arrays of paired training."""
+    sides = {"chosen": F.col(chosen), "rejected": F.col(rejected)}
+    fit = df.withColumns({f"__{k}": fitted(c["ids"], c["mask"], longest) for k, c in sides.items()}).where("__chosen IS NOT NULL AND __rejected IS NOT NULL")
+    out = []
+    for k, c in sides.items():
+        ids, mask = (F.slice(c[x], F.lit(1), F.col(f"__{k}")) for x in ("ids", "mask"))
+        out += [ids.alias(f"{k}_input_ids"), labels(ids, mask).alias(f"{k}_labels"), F.array_repeat(F.lit(1), F.col(f"__{k}")).alias(f"{k}_attention_mask")]
+    return fit.select(*(c for c in df.columns if c not in (chosen, rejected)), *out)
+
+
 def fitted(ids: Column, mask: Column, longest: int) -> Column:
     """How many tokens of an example stay: null if an assistant's token lies beyond longest, or none within."""
     beyond = F.exists(F.slice(mask, longest + 1, 1 << 30), lambda m: m == 1)
@@ -125,9 +143,18 @@ def length_batches(df: DataFrame, position: str, length: str, batch: int, multip
     return df.withColumn("batch_id", F.col("bucket") * max(1, multiplier) + F.floor(nth / batch).cast("long"))
 
 
+def epoch_batches(df: DataFrame, id_: str, length: str, batch: int, multiplier: int, seed: int, epoch: int) -> DataFrame:
+    """length_batches() of an epoch: rows in an order that seed and epoch decide, and with batch_order, by which
+    batches are taken, decided so, too."""
+    from .sampling import draw, ranked
+
+    placed = ranked(df.withColumn("__key", F.concat(draw(f"{seed + epoch}:row", F.col(id_)), F.lit(":"), F.col(id_).cast("string"))), "__key", "position").drop("__key")
+    return length_batches(placed, "position", length, batch, multiplier).withColumn("batch_order", draw(f"{seed + epoch}:batch", F.col("batch_id")))
+
+
 def answer_pairs(turns: DataFrame) -> DataFrame:
     """User turns with the assistant's next: conv_id, turn, prompt, answer, system."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    system = F.max(F.when(F.col("role") == "system", F.struct("turn", "text"))["text"]).over(Window.partitionBy("conv_id"))
+    system = F.max(F.when(F.col("role") == "system", F.struct("turn", "text"))).over(Window.partitionBy("conv_id"))["text"]
     next_ = turns.withColumn("answer", F.lead("text").over(w)).withColumn("next_role", F.lead("role").over(w)).withColumn("system", system)
     return next_.where("role = 'user' AND next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("prompt"), "answer", "system")

@@ -12,6 +12,8 @@ def cleaned(df: DataFrame, raw: Column, max_repetition: float = 0.8, repair: boo
     """df with text (null where it goes) and reason (null where it stays): the first of REASONS that holds."""
     given = T.plug("repair")(raw) if repair else raw
     df = df.withColumn("__t", T.normalise(given, nfc))
+    if simplify:
+        df = df.withColumn("__t", T.plug("simplify")(F.col("__t")))
     df = df.withColumn("__c", T.compact(F.col("__t"))).withColumn("__s", T.sample(F.col("__t")))
     t, c, s = F.col("__t"), F.col("__c"), F.col("__s")
     bad = F.length(c) - F.length(F.replace(c, F.lit("�"), F.lit("")))
@@ -24,8 +26,7 @@ def cleaned(df: DataFrame, raw: Column, max_repetition: float = 0.8, repair: boo
         .when(repetitive, T.REASONS[4])
     )
     df = df.withColumn("reason", reason)
-    out = T.plug("simplify")(t) if simplify else t
-    return df.withColumn("text", F.when(F.col("reason").isNull(), out)).drop("__t", "__c", "__s")
+    return df.withColumn("text", F.when(F.col("reason").isNull(), t)).drop("__t", "__c", "__s")
 
 
 def report(df: DataFrame) -> DataFrame:

@@ -11,8 +11,20 @@ def draw(seed: int | str, *ids: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(i.cast("string") for i in ids)).cast("binary"))
 
 
-def merged_catalog(settings: DataFrame, catalog: DataFrame, key: str = "source_id") -> DataFrame:
-    """Settings over the catalog's rows of the same id; an id that the catalog lacks is an error."""
+def last_of(df: DataFrame, key: str, position: str | None) -> DataFrame:
+    """A row for each key: of several the last by position, and an error where no position tells."""
+    if position is None:
+        if twice := [r[key] for r in df.groupBy(key).count().where("count > 1").limit(5).collect()]:
+            raise ValueError(f"more than one row of {twice}, and no position")
+        return df
+    rows = df.groupBy(key).agg(F.max_by(F.struct(*df.columns), position).alias("__row"))
+    return rows.select("__row.*").drop(position)
+
+
+def merged_catalog(settings: DataFrame, catalog: DataFrame, key: str = "source_id", position: str | None = None) -> DataFrame:
+    """Settings over the catalog's rows of the same id, of several rows of one id the last by position; an id that
+    the catalog lacks is an error."""
+    settings, catalog = (last_of(x, key, position if position in x.columns else None) for x in (settings, catalog))
     if missing := [r[key] for r in settings.join(catalog, key, "left_anti").limit(5).collect()]:
         raise KeyError(f"not in the catalog: {missing}")
     both = settings.alias("s").join(catalog.alias("c"), key)
@@ -60,6 +72,11 @@ def exact_split(df: DataFrame, ids: list[str], n_validation: int, seed: int = 42
     return ranked.withColumn("split", F.when(F.col("__before") < n_validation, "val").otherwise("train")).drop("__key", "__one", "__before")
 
 
+def ranked(df: DataFrame, key: str, name: str, parts: int = 4096) -> DataFrame:
+    """df with each row's place (from 0) by a key whose first characters are hexadecimal digits."""
+    return _before(df.withColumn("__one", F.lit(1)), "__one", key, parts).withColumnRenamed("__before", name).drop("__one")
+
+
 def split_sizes(n: int, train_ratio: float) -> tuple[int, int]:
     """Sizes of train and validation, neither empty."""
     if n < 2:
@@ -72,6 +89,18 @@ def validation_size(n: int, configured: int) -> int:
     return min(configured, max(1, n // 20))
 
 
+def not_empty(df: DataFrame, what: str) -> DataFrame:
+    """df, if it has a row."""
+    if df.isEmpty():
+        raise ValueError(f"no {what} is left")
+    return df
+
+
+def evaluation_prefix(df: DataFrame, order: list[str], batches: int, batch: int) -> DataFrame:
+    """The rows that an evaluation of so many batches looks at: the first in order (the feature is the limit)."""
+    return df.orderBy(*order).limit(batches * batch)
+
+
 def block_shuffled(df: DataFrame, index: str, block: int, seed: int = 42) -> DataFrame:
     """df with block_key and row_key: ordering by both shuffles blocks, then rows within blocks."""
     number = F.floor(F.col(index) / block).cast("long")

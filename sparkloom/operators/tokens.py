@@ -205,6 +205,14 @@ def special_id(spec: dict, token: str) -> int:
     return ids[token]
 
 
+def pad_id(spec: dict) -> int:
+    """The id that fills batches up: the padding token's, else the end's."""
+    try:
+        return special_id(spec, "<|pad|>")
+    except KeyError:
+        return special_id(spec, "<|endoftext|>")
+
+
 _loaded: dict[str, object] = {}
 
 
@@ -228,7 +236,8 @@ def encoder(spec: dict):
     def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         t = _tokenizer(content)
         for s in parts:
-            yield s.map(lambda x: None if x is None else t.encode(x, add_special_tokens=False).ids)
+            got = iter(t.encode_batch([x for x in s if x is not None], add_special_tokens=False))
+            yield pd.Series([None if x is None else next(got).ids for x in s], index=s.index)
 
     return ids
 
@@ -255,11 +264,12 @@ def masked_encoder(spec: dict):
         t = _tokenizer(content)
         for s in parts:
             rows = []
+            every = iter(t.encode_batch([seg["text"] for segs in s if segs is not None for seg in segs], add_special_tokens=False))
             for segs in s:
                 ids: list[int] = []
                 mask: list[int] = []
                 for seg in [] if segs is None else segs:
-                    got = t.encode(seg["text"], add_special_tokens=False).ids
+                    got = next(every).ids
                     ids += got
                     mask += [int(seg["assistant"])] * len(got)
                 rows.append((ids, mask))

@@ -127,7 +127,7 @@ def _joined(*parts: str) -> str:
 
 
 PAIRS = """p AS (SELECT conv_id, turn, text AS prompt, lead(text) OVER w AS answer, role, lead(role) OVER w AS next_role,
-  max(CASE WHEN role = 'system' THEN text END) OVER (PARTITION BY conv_id) AS system FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+  arg_max(text, turn) FILTER (WHERE role = 'system') OVER (PARTITION BY conv_id) AS system FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 q AS (SELECT conv_id, turn, prompt, answer, system FROM p WHERE role = 'user' AND next_role = 'assistant')"""
 
 
@@ -141,7 +141,7 @@ def adapter_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", adapters.adapted(pages, "plain_text").alias("text"))
 
 
-@query(f"SELECT doc_id, coalesce({_strip('text')}, '') AS text FROM documents")
+@query(f"SELECT doc_id, {_strip('text')} AS text FROM documents")
 def adapter_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", adapters.adapted(docs, "classification_text").alias("text"))
@@ -333,9 +333,9 @@ def chat_dedup_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked(spark, sf_dir).where("skip_reason IS NULL").select("conv_id", "turn", "copy")
 
 
-@query(f"WITH {DOUBLED} SELECT coalesce(skip_reason, 'kept') AS outcome, count(*) AS n FROM marked GROUP BY 1")
+@query(f"WITH {DOUBLED} SELECT o.outcome, count(m.conv_id) AS n FROM (SELECT unnest(['kept', 'invalid', 'duplicate', 'too_long']) AS outcome) o LEFT JOIN marked m ON o.outcome = coalesce(m.skip_reason, 'kept') GROUP BY 1")
 def chat_skip_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _marked(spark, sf_dir).groupBy(F.coalesce("skip_reason", F.lit("kept")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return chat.skip_stats(_marked(spark, sf_dir))
 
 
 PREFERENCE = f"""{PAIRS}, r AS (SELECT *, lead(answer) OVER (ORDER BY conv_id, turn) AS rejected FROM q),
@@ -351,14 +351,13 @@ def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stand-ins for token ids: code points of a text's first characters, as many as its id decides; the mask takes the second half."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", F.lit(1), (F.col("doc_id") % 50 + 2).cast("int")).alias("t"))
-    ids = F.transform(F.filter(F.split("t", ""), lambda c: c != ""), lambda c: F.ascii(c))
-    docs = docs.select("doc_id", ids.alias("ids"))
+    """Stand-ins for token ids that SQL has, too: the code points of whole texts; the mask takes the second half."""
+    ids = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c))
+    docs = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"))
     return docs.withColumn("mask", F.transform("ids", lambda x, k: F.when(k >= F.floor(F.size("ids") / 2), 1).otherwise(0)))
 
 
-IDS = """i AS (SELECT doc_id, [unicode(c) for c in string_split(substr(text, 1, doc_id % 50 + 2), '') if c <> ''] AS ids FROM documents)"""
+IDS = """i AS (SELECT doc_id, [unicode(c) for c in string_split(text, '') if c <> ''] AS ids FROM documents)"""
 
 
 @query(f"WITH {IDS} SELECT doc_id, array_to_string([CASE WHEN k - 1 >= len(ids) // 2 THEN ids[k] ELSE -100 END for k in range(1, len(ids) + 1)], ',') AS labels, len(ids) AS attention FROM i")
@@ -381,15 +380,44 @@ def length_bucket_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {IDS}, e AS (SELECT doc_id, unnest(range(1, len(ids) + 1)) AS k, unnest(ids) AS token FROM i), o AS (SELECT row_number() OVER (ORDER BY doc_id, k) - 1 AS o, token FROM e),
-w AS (SELECT o // 128 AS window_id, o, token FROM o UNION ALL SELECT o // 128 - 1, o, token FROM o WHERE o % 128 = 0 AND o > 0),
-g AS (SELECT window_id, list(token ORDER BY o) AS t FROM w GROUP BY window_id HAVING count(*) = 129) SELECT window_id, array_to_string(t[1:128], ',') AS x, array_to_string(t[2:129], ',') AS y FROM g"""
+    """WITH s AS (SELECT string_agg(text, '' ORDER BY doc_id) AS t FROM documents), w AS (SELECT t, unnest(range(0, (length(t) - 1) // 8192)) AS window_id FROM s)
+SELECT window_id, array_to_string([unicode(c) for c in string_split(substr(t, 1 + window_id * 8192, 8192), '')], ',') AS x, array_to_string([unicode(c) for c in string_split(substr(t, 2 + window_id * 8192, 8192), '')], ',') AS y FROM w"""
 )
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = windows.token_windows(windows.token_stream(_ids(spark, sf_dir), "ids", "doc_id"), 4, 32)
+    found = windows.token_windows(windows.placed(_ids(spark, sf_dir), "ids", "doc_id"), 4, 2048)
     return found.select("window_id", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("x", "y")))
 
 
+@query(
+    """WITH n AS (SELECT sum(length(text))::BIGINT AS n FROM documents), w AS (SELECT n, unnest(range(1000)) AS step FROM n), f AS (SELECT step, (n - 8193 - 5000) // 8192 + 1 AS first, (n - 8193) // 8192 + 1 AS per FROM w)
+SELECT step, CASE WHEN step < first THEN 5000 + step * 8192 ELSE (step - first) % per * 8192 END::BIGINT AS start, CASE WHEN step < first THEN 5000 + step * 8192 ELSE (step - first) % per * 8192 END::BIGINT + 8192 AS next_position FROM f"""
+)
+def batch_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thousand steps from the middle of a window, over the stream's end again and again."""
+    n = table(spark, sf_dir, "documents").agg(F.sum(F.char_length("text"))).first()[0]
+    return windows.batch_starts(spark, n, 4, 2048, 1000, 5000)
+
+
+@query(
+    """WITH r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY md5('45:row:' || doc_id), doc_id::VARCHAR) - 1 AS position FROM documents),
+b AS (SELECT doc_id, position // 32 AS bucket, row_number() OVER (PARTITION BY position // 32 ORDER BY n_chars, position) - 1 AS r FROM r) SELECT doc_id, bucket * 4 + r // 8 AS batch_id, md5('45:batch:' || (bucket * 4 + r // 8)) AS batch_order FROM b"""
+)
+def length_bucket_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batches of epoch 3 under seed 42."""
+    return chat.epoch_batches(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 8, 4, 42, 3).select("doc_id", "batch_id", "batch_order")
+
+
+@query()
+def preference_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides of preference pairs as ids, labels and attention, of 256 tokens at most; a pair stays if both do."""
+    both = tokens.masked_encoder(_trained(spark, sf_dir))
+    rows = sampling.with_following(_pairs(spark, sf_dir), "answer", ["conv_id", "turn"], "rejected", 100).withColumnRenamed("answer", "chosen")
+    sides = dict(zip(("c", "r"), chat.preference_messages(rows), strict=True))
+    rows = rows.select("conv_id", "turn", *(m.alias(k) for k, m in sides.items())).where("c IS NOT NULL AND r IS NOT NULL")
+    rows = rows.select("conv_id", "turn", *(both(chat.segments(F.col(k))).alias(k) for k in sides))
+    return chat.surviving_pairs(rows, "c", "r", 256)
+
+
 @query(f"WITH {IDS} SELECT doc_id, array_to_string(ids[1:len(ids) - 1], ',') AS x, array_to_string(ids[2:], ',') AS y FROM i")
 def next_token_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.shifted(_ids(spark, sf_dir), "ids").select("doc_id", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("x", "y")))

@@ -45,7 +45,7 @@ def now() -> str:
 
 def source_record(source: Source, status: str, **more: Any) -> dict[str, Any]:
     """A source's attributes, missing ones null, with a status."""
-    given = {"enabled": False, "source_type": "hub"} | {k: v for k, v in source.items() if k in ATTRIBUTES} | {"status": status}
+    given = {"enabled": False, "source_type": "huggingface"} | {k: v for k, v in source.items() if k in ATTRIBUTES} | {"status": status}
     return {k: given.get(k) for k in ATTRIBUTES} | more
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 import unicodedata
@@ -166,11 +167,87 @@ def test_cache_follows_its_key(spark, tmp_path):
     assert len(made) == 2
 
 
-def test_text_file_separators(spark, tmp_path):
-    df = spark.createDataFrame([(k, f"t{k}") for k in range(5)], "k long, text string")
-    store.write_text(df, str(tmp_path / "t"), "text", "k")
-    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "t").glob("part-*")))
-    assert data.replace(b"\x00", b"") == b"t0\nt1\nt2\nt3\nt4"
+def test_text_file_is_exact(spark, tmp_path):
+    rows = [(k // 2, t) for k, t in enumerate(["t0", "", "a\nb", "ü", None, "t5", "end"])]
+    path = str(tmp_path / "t.txt")
+    sha = store.write_text(spark.createDataFrame(rows[::-1], "k long, text string").repartition(3), path, "text", "k", "\n--\n")
+    data = (tmp_path / "t.txt").read_bytes()
+    parts = data.decode().split("\n--\n")
+    assert sorted(parts[:2]) == ["", "t0"] and sorted(parts[2:4]) == ["a\nb", "ü"] and parts[4:] == ["t5", "end"]
+    assert sha == hashlib.sha256(data).hexdigest() and [x.name for x in tmp_path.iterdir() if "staged" in x.name or "parts" in x.name] == []
+    with pytest.raises(FileExistsError):
+        store.write_text(spark.createDataFrame(rows, "k long, text string"), path, "text", "k")
+    store.write_text(spark.createDataFrame([], "k long, text string"), str(tmp_path / "none"), "text", "k")
+    assert (tmp_path / "none").read_bytes() == b""
+
+
+def test_bins_are_headerless_streams(spark, tmp_path):
+    import numpy as np
+
+    rows = [(k, "validation" if k % 5 == 0 else "train", [k, 300 + k] * (k % 4)) for k in range(40)]
+    df = spark.createDataFrame(rows, "k long, split string, ids array<int>")
+    targets = {"train": 32, "validation": 8}
+    made = store.write_bins(df, str(tmp_path / "bins"), "ids", ["k"], "uint16", targets, {"eos_id": 0})
+    for name in targets:
+        want = [i for _, s, ids in rows if s == name for i in ids]
+        file = tmp_path / "bins" / f"{name}.bin"
+        assert np.fromfile(file, "<u2").tolist() == want
+        assert made[name]["tokens"] == len(want) and made[name]["records"] == targets[name] and made[name]["sha256"] == hashlib.sha256(file.read_bytes()).hexdigest()
+        back = store.read_bin(spark, str(file), {"eos_id": 0, "split": name}, most=7).orderBy("start").collect()
+        assert [t for r in back for t in r.tokens] == want and max(len(r.tokens) for r in back) <= 7
+    with pytest.raises(ValueError):
+        store.write_bins(df, str(tmp_path / "other"), "ids", ["k"], "uint16", {"train": 31, "validation": 9}, {})
+    assert not list((tmp_path / "other").glob("*.bin"))
+    with pytest.raises(ValueError):
+        store.read_bin(spark, str(tmp_path / "bins" / "train.bin"), {"eos_id": 1})
+
+
+def test_windows_wrap_and_refuse(spark):
+    from sparkloom.operators import windows
+
+    ids = list(range(103))
+    df = spark.createDataFrame([(0, ids[:1]), (1, []), (2, ids[1:50]), (3, ids[50:])], "k long, ids array<int>")
+    got = windows.token_windows(windows.placed(df, "ids", "k"), 2, 5).orderBy("window_id").collect()
+    assert [(r.window_id, r.x, r.y) for r in got] == [(w, ids[10 * w : 10 * w + 10], ids[10 * w + 1 : 10 * w + 11]) for w in range(10)]
+    position, want = 95, []
+    for _ in range(25):
+        position = 0 if position > 103 - 11 else position
+        want.append((position, position + 10))
+        position += 10
+    assert [(r.start, r.next_position) for r in windows.batch_starts(spark, 103, 2, 5, 25, 95).orderBy("step").collect()] == want
+    with pytest.raises(ValueError):
+        windows.batch_starts(spark, 10, 2, 5, 1)
+
+
+def test_pairs_survive_together(spark):
+    side = "struct<ids:array<int>,mask:array<int>>"
+    rows = [(0, ([1, 2, 3], [0, 1, 1]), ([4, 5], [0, 1])), (1, ([1, 2, 3, 4], [0, 1, 1, 1]), ([4, 5], [0, 1])), (2, ([1, 2, 3, 4], [0, 1, 1, 0]), ([4, 5], [0, 0]))]
+    got = chat.surviving_pairs(spark.createDataFrame(rows, f"k long, c {side}, r {side}"), "c", "r", 3).collect()
+    assert [tuple(r) for r in got] == [(0, [1, 2, 3], [-100, 2, 3], [1, 1, 1], [4, 5], [-100, 5], [1, 1])]
+
+
+def test_draw_takes_the_last_where_sums_fall_short(spark):
+    from sparkloom.functions import numeric
+
+    df = spark.createDataFrame([(r, t, 1e-320, True) for r in range(20) for t in (1, 2)], "row long, token long, prob double, kept boolean")
+    assert numeric.draws(df, "row", "token", 1).count() == 20
+
+
+def test_last_row_of_an_id_wins(spark):
+    settings = spark.createDataFrame([("a", "x", 0), ("a", "y", 1)], "source_id string, category string, position int")
+    catalog = spark.createDataFrame([("a", "old", "p")], "source_id string, category string, kind string")
+    assert [(r.source_id, r.category, r.kind) for r in sampling.merged_catalog(settings, catalog, position="position").collect()] == [("a", "y", "p")]
+    with pytest.raises(ValueError):
+        sampling.merged_catalog(settings.drop("position"), catalog)
+    with pytest.raises(ValueError):
+        sampling.not_empty(settings.limit(0), "record")
+
+
+def test_samples_are_cut_at_any_depth(spark):
+    df = spark.range(3).selectExpr("id", "CASE WHEN id = 2 THEN 'v' ELSE 't' END AS split", "array(named_struct('a', 'long text', 'b', map('k', 'long text')), null) AS deep")
+    rows = store.head_samples(df, 1, 4, 1, split="split").collect()
+    assert [r.split for r in rows] == ["t", "v"]
+    assert all(len(r.deep) == 1 and r.deep[0].a == r.deep[0].b["k"] == "long...<truncated>" for r in rows)
 
 
 def test_settings():
