@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free, remove, written
 
 MIN_CHARS = 16
 #: Keys are broadcast up to this size, and joined by a shuffle beyond it.
@@ -142,7 +142,10 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, row: str | None
     earlier = F.when(F.col("role") == 2, F.col("first2")).when(F.col("role") == 1, F.col("first0")).otherwise(F.col("first1"))
     pairs = variants.join(firsts, "variant").select("id", "at", earlier.alias("earlier")).where(F.col("earlier.at") < F.col("at"))
     pairs = pairs.select("id", "at", F.col("earlier.id").alias("earlier_id")).distinct()
-    return _settled(distinct, texts, pairs, edits)
+    settled = _settled(distinct, texts, pairs, edits)
+    remove(shared, some, texts, met, variants)
+    free(docs.sparkSession)
+    return settled
 
 
 def _settled(distinct: DataFrame, texts: DataFrame, pairs: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from .common import words, written
+from .common import free, remove, words, written
 
 CLASSES = ("letters", "capitals", "digits", "spaces", "symbols", "punctuation")
 
@@ -64,7 +64,7 @@ def _repeated(grams: Column) -> Column:
 
 
 def common_words(docs: DataFrame, rules: QualityRules = QualityRules()) -> tuple[DataFrame, Row | None]:
-    """Of each language with enough words: ref_lang, ref_words, and their shares of all words with the rest's last
+    """A written table of each language with enough words: ref_lang, ref_words, and their shares of all words with the rest's last
     (word_shares); and the same of all documents together. Counted over all rows."""
     each = docs.select(F.col("lang").alias("ref_lang"), F.explode(words(F.lower("text"))).alias("word"))
     counts = written(each.groupBy("ref_lang", "word").count(), "quality-words")
@@ -80,7 +80,10 @@ def common_words(docs: DataFrame, rules: QualityRules = QualityRules()) -> tuple
         return joined.select(*key, F.col("top.word").alias("ref_words"), F.concat(known, F.array(rest)).alias("word_shares"))
 
     total = F.sum("count").alias("all_words")
-    return shares(top, counts.groupBy("ref_lang").agg(total), "ref_lang"), shares(in_all, counts.agg(total)).first()
+    found = written(shares(top, counts.groupBy("ref_lang").agg(total), "ref_lang"), "quality-languages"), shares(in_all, counts.agg(total)).first()
+    remove(counts)
+    free(docs.sparkSession)
+    return found
 
 
 def features(docs: DataFrame, refs: DataFrame | None = None, in_all: Row | None = None) -> DataFrame:
@@ -159,7 +162,6 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """A row per document: doc_id, the base counts, base_failed, kept, and both distances (null where they
     aren't compared)."""
     by_word, in_all = common_words(docs, rules)
-    by_word = written(by_word, "quality-languages")
     few = by_word.count() <= 10_000  # rows of a few hundred bytes each
     found = written(features(docs, F.broadcast(by_word) if few else by_word, in_all), "quality")
     by_class, overall = class_shares(found, by_word)
