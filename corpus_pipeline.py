@@ -2,18 +2,23 @@
 
 Defined cases: stages decide on rows, not on ids. A row with a null doc_id is
 judged as any other, and rows that share a doc_id are judged one by one. Ids
-only order rows where one of several stays. A row whose lines all went has an
-empty text, is near no other row, and stays.
+only order rows where one of several stays. A null text is rejected by the
+first stage, and by itself each later stage treats it as an empty one; texts
+of any length are judged and packed whole; other columns stay as they are, and
+an empty table gives an empty one. Of rows that tie (one id and equal texts)
+the first by row number stays. A row whose lines all went has an empty text,
+is near no other row, and stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import written
+from sparkloom.llm.common import free, remove, written
 from sparkloom.llm.jaccard import Similarity, linked
 from sparkloom.llm.langid import UNKNOWN, identify
 from sparkloom.llm.lines import drop_lines
@@ -23,7 +28,7 @@ from sparkloom.llm.queries import tokenizer_file
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: The column of row numbers; run() writes it once, a stage by itself numbers its rows and drops it.
+#: The column of row numbers; each stage numbers its rows and drops it.
 ROW = "__row"
 #: Of the language stage, neither grows with length: the share of words in stretches that agree with the text's
 #: language (about half where two are mixed), and nats a character below the language's own level (2 and more for
@@ -33,8 +38,18 @@ MAX_BELOW = 1.5
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a written row number, unless they have one."""
-    return docs if ROW in docs.columns else written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    """docs with a row number that stays the same each time they are read: of rows in files, by the file's place
+    among all and the row's place in it; of others, by a written copy."""
+    if ROW in docs.columns:
+        return docs
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+    except AnalysisException:
+        return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    files = sorted(r[0] for r in placed.select("__file").distinct().collect())  # a row a file, as the driver's listing has them
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "__number long, __file string")
+    row = F.shiftleft(F.col("__number"), 40) + F.col("__place")
+    return placed.join(F.broadcast(numbers), "__file").select(*docs.columns, row.alias(ROW))
 
 
 def _by_row(rows: DataFrame) -> DataFrame:
@@ -98,9 +113,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each on what its predecessor kept."""
-    docs = _numbered(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage-{name}")
+            if k:
+                remove(before)
+            free(spark)
     return docs
