@@ -11,6 +11,8 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+from fractions import Fraction
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from sparkloom.llm import bpe, exact, jaccard, langid, lines, lm, packing, quality, queries, rollup, warc
@@ -381,3 +383,45 @@ def test_quality_is_the_sql(spark, sf_dir):
     from compare import connect, differences
 
     assert differences(queries.op10_quality_rules(spark, sf_dir), connect(sf_dir), queries.ORACLE_SQL["op10_quality_rules"]) == []
+
+
+def test_long_words_are_summed_whole_and_in_range():
+    pieces = ["▁", "a", "b", "ab", "ba"]
+    found = langid.Pieces(pieces)
+    probs = np.array([[0.2, 0.2], [0.3, 0.05], [0.1, 0.1], [0.2, 0.2], [0.2, 0.2], [0.0, 0.0]])
+    for word in ("▁" + "ab" * 200, "▁" + "q" * 40 + "a" * 7, "▁" + "abq" * 60):
+        at, sums = {p: k for k, p in enumerate(pieces)}, []
+        for language in (0, 1):
+            total = [Fraction(1)]
+            for end in range(1, len(word) + 1):
+                x = Fraction(0)
+                for length in (1, 2):
+                    if length <= end:
+                        k = at.get(word[end - length : end])
+                        p = Fraction(probs[k][language]) if k is not None else Fraction(1e-9) if length == 1 else 0
+                        x += total[end - length] * p
+                total.append(x)
+            sums.append(math.log(total[-1].numerator) - math.log(total[-1].denominator))
+        assert langid.log_sums(found, [word, word], probs) == pytest.approx(np.array([sums, sums]), rel=1e-9)
+
+
+def test_long_white_space_is_encoded(file):
+    text = "a" + " " * 1_000_000 + "b"
+    assert bpe.load(file, bpe.RankBpe).encode_packed([text]) == bpe.load(file).encode_packed([text])
+
+
+def test_archives_by_others(spark):
+    head = [("WARC-Record-ID", "<urn:x>"), ("WARC-Date", "2024-01-01T00:00:00Z")]
+    made = [warc.record([("WARC-Type", "warcinfo"), *head], b"software: x"), warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:r>")], b"HTTP/1.1 200 OK\r\n\r\nhello")]
+    made.append(warc.record([("WARC-Type", "revisit"), ("WARC-Record-ID", "<urn:v>"), ("WARC-Refers-To", "<urn:elsewhere>")], b""))
+    got = warc.read_pages(spark.createDataFrame([("f", bytearray(b"".join(made)))], "name string, data binary")).collect()
+    assert sorted((r.record_id, r.page_id, r.payload_bytes, r.record_type) for r in got) == [("<urn:r>", None, 5, "response"), ("<urn:v>", None, None, "revisit")]
+    many = b"".join(warc.record([("WARC-Type", "resource")], b"") for _ in range(40_000))
+    assert sum(1 for _ in warc.records(many)) == 40_000
+
+
+def test_rows_of_one_id_keep_their_own_lines(spark):
+    line = "a line that is long enough to be looked at"
+    docs = spark.createDataFrame([(1, line), (7, "another line that is long enough, too"), (7, f"{line}\nown line of the second row of seven"), (None, f"{line}\nwhat the row without an id has alone")], "doc_id long, text string")
+    got = lines.drop_lines(docs).collect()
+    assert sorted((r.doc_id or 99, r.text) for r in got) == [(1, line), (7, "another line that is long enough, too"), (7, "own line of the second row of seven"), (99, "what the row without an id has alone")]
