@@ -201,13 +201,14 @@ def reassemble(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                (of,), (total,), (parts,) = columns_of(batch.slice(k, 1), "record_id", "total", "parts")
-                block = b"".join(p["body"] for p in parts)
-                if len(block) != total or [p["segment"] for p in parts] != list(range(1, len(parts) + 1)):
-                    raise ValueError(f"segments of {of} don't make up its total length")
-                head = batch.slice(k, 1).select(["record_id", "kind", "page_id", "uri", "digest", "refers_to"])
-                yield head.append_column("block", pa.array([block], pa.binary()))
+            for k in range(0, batch.num_rows, 100):
+                some, blocks = batch.slice(k, 100), []
+                for of, total, parts in zip(*columns_of(some, "record_id", "total", "parts"), strict=True):
+                    blocks.append(b"".join(p["body"] for p in parts))
+                    if len(blocks[-1]) != total or [p["segment"] for p in parts] != list(range(1, len(parts) + 1)):
+                        raise ValueError(f"segments of {of} don't make up its total length")
+                head = some.select(["record_id", "kind", "page_id", "uri", "digest", "refers_to"])
+                yield head.append_column("block", pa.array(blocks, pa.binary()))
 
     named = joined.select(F.col("of").alias("record_id"), "kind", "page_id", "uri", "digest", "refers_to", "total", "parts")
     return whole.unionByName(named.mapInArrow(run, schema))
