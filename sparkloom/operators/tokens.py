@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import uuid
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -37,14 +38,15 @@ def alphabet() -> dict[int, str]:
 
 def merges_of(words: Counter, vocab_size: int, min_frequency: int, max_length: int) -> list[tuple[str, str]]:
     """Merges by falling count of pairs, ties to the pair that sorts first. words: by their characters."""
-    parts = [list(w) for w in words]
+    chars = {c: c for c in alphabet().values()}  # one object a character
+    parts = [[chars.setdefault(c, c) for c in w] for w in words]
     counts = list(words.values())
     pairs: Counter = Counter()
-    where: dict[tuple[str, str], set[int]] = defaultdict(set)
+    where: dict[tuple[str, str], array] = defaultdict(lambda: array("I"))  # words that have or had the pair
     for k, p in enumerate(parts):
         for pair in zip(p, p[1:], strict=False):
             pairs[pair] += counts[k]
-            where[pair].add(k)
+            where[pair].append(k)
     heap = [(-n, pair) for pair, n in pairs.items()]
     heapq.heapify(heap)
     merges: list[tuple[str, str]] = []
@@ -58,22 +60,25 @@ def merges_of(words: Counter, vocab_size: int, min_frequency: int, max_length: i
         if len(pair[0]) + len(pair[1]) > max_length:
             continue
         merges.append(pair)
+        both = pair[0] + pair[1]
         changed = set()
-        for k in where.pop(pair):
+        for k in set(where.pop(pair)):
             old, new, at = parts[k], [], 0
             while at < len(old):
                 if at + 1 < len(old) and (old[at], old[at + 1]) == pair:
-                    new.append(old[at] + old[at + 1])
+                    new.append(both)
                     at += 2
                 else:
                     new.append(old[at])
                     at += 1
+            if len(new) == len(old):
+                continue  # merged otherwise since
             for sign, p in ((-1, old), (1, new)):
                 for x in zip(p, p[1:], strict=False):
                     pairs[x] += sign * counts[k]
                     changed.add(x)
-                    if sign > 0:
-                        where[x].add(k)
+                    if sign > 0 and both in x:  # of other pairs the word is known
+                        where[x].append(k)
             parts[k] = new
         pairs.pop(pair, None)
         for x in changed:
@@ -83,10 +88,12 @@ def merges_of(words: Counter, vocab_size: int, min_frequency: int, max_length: i
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names (a local one where none is named), removed
-    when the driver's JVM ends."""
+    """df as a table in the folder that spark.checkpoint.dir names (a local one for a single machine where none
+    is named, an error on a cluster), removed when the driver's JVM ends."""
     spark = df.sparkSession
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     path = f"{(named or '/tmp/checkpoints/sparkloom').rstrip('/')}/pieces-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
@@ -167,8 +174,8 @@ def merges_by_spark(counts: DataFrame, vocab_size: int, min_frequency: int, max_
     return merges
 
 
-def train(df: DataFrame, text: str, vocab_size: int = 24576, min_frequency: int = 10, max_length: int = 20, max_pieces: int = 5_000_000) -> dict:
-    """A tokenizer file's content. All pieces are counted by Spark; up to max_pieces distinct ones are merged on
+def train(df: DataFrame, text: str, vocab_size: int = 24576, min_frequency: int = 10, max_length: int = 20, max_pieces: int = 500_000) -> dict:
+    """A tokenizer file's content. All pieces are counted by Spark; up to max_pieces distinct ones (about 0.8 KB each) are merged on
     the driver, more by Spark, with the same result."""
     counts = _written(pretoken_counts(df, text))
     to = alphabet()
