@@ -175,8 +175,8 @@ def merges_by_spark(counts: DataFrame, vocab_size: int, min_frequency: int, max_
 
 
 def train(df: DataFrame, text: str, vocab_size: int = 24576, min_frequency: int = 10, max_length: int = 20, max_pieces: int = 500_000) -> dict:
-    """A tokenizer file's content. All pieces are counted by Spark; up to max_pieces distinct ones (about 0.8 KB each) are merged on
-    the driver, more by Spark, with the same result."""
+    """A tokenizer file's content. All pieces are counted by Spark; up to max_pieces distinct ones (about 0.8 KB
+    each) are merged on the driver, more by Spark, with the same result."""
     counts = _written(pretoken_counts(df, text))
     to = alphabet()
     if counts.count() <= max_pieces:
