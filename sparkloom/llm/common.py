@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of characters other than these six.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Whether Spark deletes a query's shuffles as soon as it has ended.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,9 +35,15 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, and a lost executor takes no rows with it."""
+    """df as a table in the shared folder: its lineage is cut, and a lost executor takes no rows with it. The job's
+    shuffles go as soon as the table is written, not when the driver's garbage happens to be collected."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    before = spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
