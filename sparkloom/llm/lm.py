@@ -212,24 +212,42 @@ def _split(x: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
     return np.split(x, np.cumsum(lengths)[:-1])
 
 
+def _totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What equal keys count together, at each of them; the distinct keys, and what these count."""
+    if not len(keys):
+        return np.zeros(0, np.int64), keys, np.zeros(0, np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    keys = keys[first]
+    sums = np.add.reduceat(counts[order], first, dtype=np.int64)
+    totals = np.empty(len(order), np.int64)
+    totals[order] = np.repeat(sums, np.diff(first, append=len(order)))
+    return totals, keys, sums
+
+
 def _answers(requests: DataFrame, order: int) -> DataFrame:
     start = np.uint64(xxhash.xxh3_64_intdigest(b" "))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        lengths = [list(x) for x in rows["lengths"]]
-        keys = [_split(expanded(k, np.uint64), n) for k, n in zip(rows["keys"], lengths, strict=True)]
-        counts = [_split(expanded(c, np.uint32), n) for c, n in zip(rows["counts"], lengths, strict=True)]
+    def run(rows: pa.Table) -> pa.Table:
+        lengths = rows["lengths"].to_pylist()
+        ends = np.cumsum(np.array(lengths, np.int64), axis=0)
+        keys, counts = [np.empty(n, np.uint64) for n in ends[-1]], [np.empty(n, np.uint32) for n in ends[-1]]
+        for name, into in (("keys", keys), ("counts", counts)):
+            for data, n, end in zip(rows[name], lengths, ends.tolist(), strict=True):
+                for x, part, stop in zip(into, _split(expanded(data.as_buffer(), into[0].dtype.type), n), end, strict=True):
+                    x[stop - len(part) : stop] = part
         totals, types = [], 0
         for k in range(order):
-            distinct, at = np.unique(np.concatenate([x[k] for x in keys]), return_inverse=True)
-            sums = np.bincount(at, weights=np.concatenate([c[k] for c in counts]), minlength=len(distinct)).astype(np.int64)
+            total, distinct, sums = _totals(keys.pop(0), counts.pop(0))
             if k == 0:
                 types = int(((sums > 0) & (distinct != start)).sum())
-            totals.append(np.split(sums[at], np.cumsum([n[k] for n in lengths])[:-1]))
+            totals.append(np.split(total, ends[:-1, k]))
         data = [squeezed(np.concatenate(x)) for x in zip(*totals, strict=True)]
-        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "lengths": rows["lengths"], "counts": data, "types": [types] + [0] * (len(rows) - 1)})
+        made = (rows["block"], rows["bucket"], pa.array(lengths, pa.list_(pa.int32())), pa.array(data, pa.binary()), pa.array([types] + [0] * (len(data) - 1), pa.int64()))
+        return pa.table(dict(zip(("block", "bucket", "lengths", "counts", "types"), made, strict=True)))
 
-    return written(requests.groupBy("bucket").applyInPandas(run, ANSWER), "lm-answers")
+    return written(requests.groupBy("bucket").applyInArrow(run, ANSWER), "lm-answers")
 
 
 def score(docs: DataFrame, folds: int = 7, fold: int = 2, order: int = 3, strength: float = 2.0) -> DataFrame:
