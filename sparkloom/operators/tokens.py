@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import heapq
 import json
+import unicodedata
 import uuid
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +23,8 @@ from ..functions.text import compose
 #: The splitting pattern and special tokens of the trained vocabulary.
 PATTERN = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
 SPECIALS = ("<|endoftext|>", "<|im_start|>", "<|im_end|>")
+ODD = regex.compile(r"\p{White_Space} ").search
+CUT = regex.compile(r"(?<=\P{White_Space})(?= )").split
 
 
 def pretokens(text: Column, nfc: bool = True) -> Column:
@@ -25,8 +32,54 @@ def pretokens(text: Column, nfc: bool = True) -> Column:
     return F.regexp_extract_all(compose(text) if nfc else text, F.lit("(?U)" + PATTERN), F.lit(0))
 
 
+#: Distinct units, and characters of them, that a task counts together before it passes the counts on.
+COUNTED, COUNTED_CHARS = 500_000, 16 << 20
+
+
+def _units(text: str) -> tuple[list[str], list[str]]:
+    """A text cut before each space that follows something other than white space: no piece lies across such a
+    place, and how a text is split after it doesn't depend on what comes before. Whole units, then those that
+    have lost the space they begin with."""
+    if ODD(text):
+        return CUT(text), []
+    first, *rest = text.split(" ")
+    return [first] if first else [], rest
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units of texts in NFC with their counts, added up as far as COUNTED allows."""
+    whole: Counter = Counter()
+    spaced: Counter = Counter()
+    held = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for counts, before in ((whole, ""), (spaced, " ")):
+            keys = list(counts)
+            for k in range(0, len(keys), 20_000):
+                some = keys[k : k + 20_000]
+                yield pa.RecordBatch.from_pydict({"unit": pa.array([before + u for u in some], pa.string()), "n": pa.array([counts[u] for u in some], pa.int64())})
+            counts.clear()
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            if text:
+                a, b = _units(text if text.isascii() else unicodedata.normalize("NFC", text))
+                whole.update(a)
+                spaced.update(b)
+                held += len(text)
+                if held > COUNTED_CHARS or len(whole) + len(spaced) > COUNTED:
+                    held = sum(map(len, whole)) + sum(map(len, spaced))
+                    if held > COUNTED_CHARS // 2 or len(whole) + len(spaced) > COUNTED:
+                        yield from out()
+                        held = 0
+    yield from out()
+
+
 def pretoken_counts(df: DataFrame, text: str) -> DataFrame:
-    return df.select(F.explode(pretokens(F.col(text))).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    """Pieces of all texts (in NFC) and how often each occurs. Texts are cut into units first, and only distinct
+    units are split."""
+    units = df.select(F.col(text).alias("text")).mapInArrow(_counted, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return units.select(F.explode(pretokens(F.col("unit"), nfc=False)).alias("piece"), "n").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def alphabet() -> dict[int, str]:
@@ -109,6 +162,115 @@ def _remove(table: DataFrame) -> None:
         at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _gathered(counts: DataFrame, vocab_size: int):
+    """A table of pieces (piece, n) on the driver."""
+    got = counts.select(F.col("piece").cast("binary").alias("piece"), "n").where(F.octet_length("piece") > 1).toArrow()
+    return Pieces(pa.chunked_array(got["piece"].chunks, pa.binary()).combine_chunks(), np.asarray(got["n"]), vocab_size > 65_000)
+
+
+class Pieces:
+    """Pieces as one array of token numbers, 0 between them, those of one count side by side: about 2 bytes of
+    memory for each of text, 10 while they are read and merged. Numbers 1 to 256 are the bytes."""
+
+    def __init__(self, pieces: pa.Array, n: np.ndarray, wide: bool):
+        """pieces: binary. wide: whether there may be more tokens than 16 bits number."""
+        order = np.argsort(n, kind="stable")
+        n = n[order]
+        sizes = np.asarray(pc.binary_length(pieces))[order].astype(np.int64)
+        ends = np.cumsum(sizes + 1)
+        self.tokens = np.zeros(int(ends[-1]) + 1 if len(n) else 1, np.uint32 if wide else np.uint16)
+        for k in range(0, len(n), 100_000):
+            some = pieces.take(pa.array(order[k : k + 100_000])).cast(pa.large_binary())
+            offsets = np.frombuffer(some.buffers()[1], np.int64, len(some) + 1, some.offset * 8)
+            bytes_ = np.frombuffer(some.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] else np.empty(0, np.uint8)
+            at = np.arange(len(bytes_)) + np.repeat(np.arange(1, len(some) + 1), sizes[k : k + 100_000])
+            self.tokens[at + (ends[k - 1] if k else 0)] = bytes_.astype(self.tokens.dtype) + 1
+        new = np.flatnonzero(np.diff(n, prepend=-1))
+        self.counts = n[new].astype(np.float64)  # sums of whole numbers up to 2^53 are exact
+        self.starts = np.append(0, ends[new[1:] - 1]) if len(new) else np.empty(0, np.int64)  # where pieces of each count begin
+
+    def _weights(self, at: np.ndarray) -> np.ndarray:
+        """The counts of the pieces at rising places."""
+        return np.repeat(self.counts, np.diff(np.append(np.searchsorted(at, self.starts), len(at))))
+
+    def pairs(self) -> dict[tuple[int, int], int]:
+        """How often each pair occurs."""
+        found: Counter = Counter()
+        for k in range(0, len(self.tokens) - 1, 1 << 20):
+            x, y = (self.tokens[k + d : min(k + (1 << 20), len(self.tokens) - 1) + d].astype(np.int64) for d in (0, 1))
+            at = np.flatnonzero((x > 0) & (y > 0))
+            codes, which = np.unique(x[at] << 32 | y[at], return_inverse=True)
+            sums = np.bincount(which, self._weights(at + k), len(codes))
+            for c, w in zip(codes.tolist(), sums.tolist(), strict=True):
+                found[c >> 32, c & 0xFFFFFFFF] += int(w)
+        return found
+
+    def merge(self, a: int, b: int, made: int) -> Counter:
+        """Merge a pair everywhere, from the left; by how much the counts of other pairs change."""
+        t = self.tokens
+        hits = np.concatenate([k + np.flatnonzero((t[k : k + (1 << 20)][: len(t) - 1 - k] == a) & (t[k + 1 : k + 1 + (1 << 20)] == b)) for k in range(0, len(t) - 1, 1 << 20)] or [np.empty(0, np.int64)])
+        if a == b and len(hits):  # of a run, every other
+            first = np.flatnonzero(np.diff(hits, prepend=-2) != 1)
+            hits = hits[(np.arange(len(hits)) - np.repeat(first, np.diff(np.append(first, len(hits))))) % 2 == 0]
+        change: Counter = Counter()
+        if not len(hits):
+            return change
+        weights = self._weights(hits)
+        alone = np.append(np.diff(hits) != 2, True)  # not beside the next one
+
+        def add(sign: int, left: np.ndarray, right: np.ndarray, x: int, y: int) -> None:
+            for side, w in ((left, weights), (right, weights[alone])):
+                sums = np.bincount(side, w)
+                for z in np.flatnonzero(sums[1:]) + 1:
+                    change[(int(z), x) if side is left else (y, int(z))] += sign * int(sums[z])
+
+        add(-1, t[hits - 1], t[hits[alone] + 2], a, b)
+        kept = np.ones(len(t), bool)
+        kept[hits + 1] = False
+        t[hits] = made
+        self.tokens = t = t[kept]
+        self.starts = self.starts - np.searchsorted(hits + 1, self.starts)
+        at = hits - np.arange(len(hits))
+        add(1, t[at - 1], t[at[alone] + 1], made, made)
+        change.pop((a, b), None)
+        return change
+
+
+def merges_of_many(pieces: Pieces, vocab_size: int, min_frequency: int, max_length: int) -> list[tuple[str, str]]:
+    """merges_of() over pieces in one array."""
+    to = alphabet()
+    names = ["", *(to[b] for b in range(256))]
+    number = {c: k for k, c in enumerate(names)}
+    pairs = pieces.pairs()
+    heap = [(-n, names[x], names[y]) for (x, y), n in pairs.items()]
+    heapq.heapify(heap)
+    merges: list[tuple[str, str]] = []
+    room = vocab_size - 256 - len(SPECIALS)
+    while heap and len(merges) < room:
+        n, a, b = heapq.heappop(heap)
+        pair = number[a], number[b]
+        if -n != pairs.get(pair, 0):
+            continue  # counted anew since
+        if -n < min_frequency:
+            break
+        if len(a) + len(b) > max_length:
+            continue
+        merges.append((a, b))
+        if a + b not in number:
+            number[a + b] = len(names)
+            names.append(a + b)
+        change = pieces.merge(*pair, number[a + b])
+        pairs.pop(pair)
+        for x, d in change.items():
+            if d:
+                pairs[x] = pairs.get(x, 0) + d
+                if pairs[x] > 0:
+                    heapq.heappush(heap, (-pairs[x], names[x[0]], names[x[1]]))
+                else:
+                    del pairs[x]
+    return merges
+
+
 def _batch(pairs: list[tuple[int, tuple[str, str]]], made: set[str]) -> list[tuple[str, str]]:
     """Of pairs in their order the first that can be merged at once: they share no token with each other, so no
     merge changes another's count, and a pair that a merge makes is as frequent as one left out at most."""
@@ -176,14 +338,18 @@ def merges_by_spark(counts: DataFrame, vocab_size: int, min_frequency: int, max_
 
 def train(df: DataFrame, text: str, vocab_size: int = 24576, min_frequency: int = 10, max_length: int = 20, max_pieces: int = 500_000) -> dict:
     """A tokenizer file's content. All pieces are counted by Spark; up to max_pieces distinct ones (about 0.8 KB
-    each) are merged on the driver, more by Spark, with the same result."""
+    each) are merged on the driver, more in one array there while they need no more memory than so many (128
+    bytes of text for each of max_pieces), beyond that by Spark, all with the same result."""
     counts = _written(pretoken_counts(df, text))
     to = alphabet()
-    if counts.count() <= max_pieces:
+    size = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()
+    if size[0] <= max_pieces:
         words: Counter = Counter()
         for r in counts.toLocalIterator():
             words["".join(to[b] for b in r["piece"].encode())] += r["n"]
         merges = merges_of(words, vocab_size, min_frequency, max_length)
+    elif size[1] + size[0] <= 128 * max_pieces:
+        merges = merges_of_many(_gathered(counts, vocab_size), vocab_size, min_frequency, max_length)
     else:
         merges = merges_by_spark(counts, vocab_size, min_frequency, max_length)
     tokens = [*SPECIALS, *sorted(to.values()), *(a + b for a, b in merges)]

@@ -5,6 +5,9 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 from sparkloom.operators import tokens
 
 
@@ -42,3 +45,37 @@ def test_merges_cover_all_pieces(spark):
     for most in (10**6, 10):
         got = tokens.train(df, "text", 256 + 3 + 40, 3, 6, most)["model"]["merges"]
         assert [tuple(m) for m in got] == wanted and len(got) == 40
+
+
+def test_many_pieces_are_merged_in_one_array(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("merged by Spark, a job for a few merges")
+
+    monkeypatch.setattr(tokens, "merges_by_spark", never)
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("aabcdé") for _ in range(rng.randint(1, 9))) for _ in range(30)) for _ in range(40)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [tokens.train(df, "text", 256 + 3 + 40, 3, 6, most)["model"]["merges"] for most in (10**6, 200)]
+    assert tokens.pretoken_counts(df, "text").count() > 200
+    assert got[0] == got[1] and len(got[0]) == 40
+
+
+def test_array_of_pieces_merges_as_words_do():
+    for seed in range(60):
+        rng = random.Random(seed)
+        words = Counter("".join(rng.choice("aabcé漢") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(0, 60)))
+        to = tokens.alphabet()
+        chars = Counter({"".join(to[b] for b in w.encode()): n for w, n in words.items()})
+        limits = 259 + rng.randint(1, 80), rng.randint(1, 4), rng.randint(3, 20)
+        table = tokens.Pieces(pa.array([w.encode() for w in words], pa.binary()), np.array(list(words.values()), np.int64), seed % 2 == 0)
+        assert tokens.merges_of_many(table, *limits) == tokens.merges_of(chars, *limits)
+
+
+def test_pieces_counted_by_units(spark):
+    rng = random.Random(6)
+    parts = [" ", " ", "  ", "\n", "\r\n", "\t", "\xa0", "　", "a", "B", "é", "é", "12", ".", "'s", "漢", "́", "\x85", "\x1c"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(800)] + [None, "", " ", "a "]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole = Counter(p for r in df.select(tokens.pretokens(F.col("text"))).collect() for p in r[0] or [])
+    assert {r.piece: r.n for r in tokens.pretoken_counts(df, "text").collect()} == whole
+    assert dict(tokens.pretoken_counts(df, "text").dtypes)["n"] == "bigint"
