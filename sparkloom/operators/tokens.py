@@ -24,6 +24,9 @@ from ..functions.text import compose
 PATTERN = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
 SPECIALS = ("<|endoftext|>", "<|im_start|>", "<|im_end|>")
 ODD = regex.compile(r"\p{White_Space} ").search
+#: Characters that versions of Unicode, and so libraries, may class otherwise: all but Latin, Greek, Cyrillic,
+#: punctuation and unified ideographs of the first versions; and the long s, which some take for an s.
+LATER = regex.compile(r"[^\u0000-\u017E\u0180-\u0233\u0391-\u03A1\u03A3-\u03C9\u0410-\u044F\u2010-\u2027\u3001-\u3003\u3041-\u3094\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3\uFF01-\uFF5E]").search
 CUT = regex.compile(r"(?<=\P{White_Space})(?= )").split
 
 
@@ -352,7 +355,12 @@ def train(df: DataFrame, text: str, vocab_size: int = 24576, min_frequency: int
         merges = merges_of_many(_gathered(counts, vocab_size), vocab_size, min_frequency, max_length)
     else:
         merges = merges_by_spark(counts, vocab_size, min_frequency, max_length)
-    tokens = [*SPECIALS, *sorted(to.values()), *(a + b for a, b in merges)]
+    return content_of(merges)
+
+
+def content_of(merges: list[tuple[str, str]]) -> dict:
+    """A tokenizer file's content from its merges."""
+    tokens = [*SPECIALS, *sorted(alphabet().values()), *(a + b for a, b in merges)]
     vocab = {t: k for k, t in enumerate(dict.fromkeys(tokens))}
     return {
         "version": "1.0", "truncation": None, "padding": None,
@@ -386,18 +394,92 @@ def pad_id(spec: dict) -> int:
         return special_id(spec, "<|endoftext|>")
 
 
-_loaded: dict[str, object] = {}
-
-
-def _tokenizer(content: str):
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
+_loaded: dict[str, Encoder] = {}
+#: Distinct units, and characters and ids of them, whose ids a worker keeps; a full cache is emptied.
+KEPT, KEPT_SIZE = 500_000, 32 << 20
+
+
+class Encoder:
+    """A tokenizer file's encoder and decoder, by the tokenizers library. Of a file that splits as train() has it,
+    the ids of distinct units are kept, since a unit has the same ids wherever it stands."""
+
+    def __init__(self, content: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(content)
+        spec = json.loads(content)
+        added = spec["added_tokens"]
+        plain = not any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in added)
+        split = {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Isolated", "invert": False}
+        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        usual = spec["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [split, level]} and spec["normalizer"] == {"type": "NFC"}
+        self.by_unit = plain and usual and spec["model"]["type"] == "BPE" and not spec["model"]["dropout"] and not spec["truncation"] and not spec["padding"]
+        self.added = {x["content"]: np.array([x["id"]], np.int32).tobytes() for x in added}
+        names = sorted(map(regex.escape, self.added), key=len, reverse=True)
+        self.apart = regex.compile("(" + "|".join(names) + ")").split if names else None
+        self.whole: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+        self.held = 0
+        self.quick = self._quick(spec) if self.by_unit else None
+
+    def _quick(self, spec: dict):
+        """tiktoken's encoder of the same merges, or None. It merges any two tokens that make a third, so each
+        must be what the file's own merges make of its text, with ids in the order of the merges: then two that
+        the file leaves apart make none."""
+        try:
+            import tiktoken
+        except ImportError:
+            return None
+        to = {c: b for b, c in alphabet().items()}
+        vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in self.added}
+        made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+        if len(made) + 256 != len(vocab) or any(a >= b for a, b in zip(made, made[1:], strict=False)) or not set(to) <= set(vocab):
+            return None
+        if any([x.id for x in self.tokenizer.model.tokenize(t)] != [i] for t, i in vocab.items()):
+            return None
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks={bytes(to[c] for c in t): i for t, i in vocab.items()}, special_tokens={})
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _joined(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
+        text = text if text.isascii() else unicodedata.normalize("NFC", text)
+        if self.quick is not None and text and not LATER(text):
+            try:
+                return self.quick.encode_to_numpy(text, disallowed_special=()).astype(np.int32).tobytes()
+            except ValueError:  # its splitting gives up on some very long runs
+                pass
+        whole, spaced = _units(text)
+        try:
+            return b"".join([*map(self.whole.__getitem__, whole), *map(self.spaced.__getitem__, spaced)])
+        except KeyError:
+            pass
+        if len(self.whole) + len(self.spaced) > KEPT or self.held > KEPT_SIZE:
+            self.whole.clear()
+            self.spaced.clear()
+            self.held = 0
+        for units, known, before in ((whole, self.whole, ""), (spaced, self.spaced, " ")):
+            new = [u for u in dict.fromkeys(units) if u not in known]
+            known.update(zip(new, self._ids([before + u for u in new]), strict=True))
+            self.held += sum(len(u) + len(known[u]) for u in new)
+        return b"".join([*map(self.whole.__getitem__, whole), *map(self.spaced.__getitem__, spaced)])
+
+    def encode(self, text: str) -> np.ndarray:
+        if not self.by_unit:
+            return np.frombuffer(self._ids([text])[0], np.int32)
+        if self.apart is None or not any(x in text for x in self.added):
+            return np.frombuffer(self._joined(text), np.int32)
+        return np.frombuffer(b"".join(self.added[x] if x in self.added else self._joined(x) for x in self.apart(text) if x), np.int32)
+
+
+def _encoder(content: str) -> Encoder:
     if content not in _loaded:
         _loaded.clear()
-        _loaded[content] = Tokenizer.from_str(content)
+        _loaded[content] = Encoder(content)
     return _loaded[content]
 
 
@@ -407,10 +489,9 @@ def encoder(spec: dict):
 
     @F.pandas_udf("array<int>")
     def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = _tokenizer(content)
+        t = _encoder(content)
         for s in parts:
-            got = iter(t.encode_batch([x for x in s if x is not None], add_special_tokens=False))
-            yield pd.Series([None if x is None else next(got).ids for x in s], index=s.index)
+            yield pd.Series([None if x is None else t.encode(x) for x in s], index=s.index, dtype=object)
 
     return ids
 
@@ -421,7 +502,7 @@ def decoder(spec: dict):
 
     @F.pandas_udf("string")
     def text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = _tokenizer(content)
+        t = _encoder(content).tokenizer
         for s in parts:
             yield s.map(lambda x: None if x is None else t.decode(list(x), skip_special_tokens=False))
 
@@ -434,7 +515,7 @@ def masked_encoder(spec: dict):
 
     @F.pandas_udf("struct<ids:array<int>,mask:array<int>>")
     def both(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        t = _tokenizer(content)
+        t = _encoder(content).tokenizer
         for s in parts:
             rows = []
             every = iter(t.encode_batch([seg["text"] for segs in s if segs is not None for seg in segs], add_special_tokens=False))

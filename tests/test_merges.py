@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 from collections import Counter
 
@@ -79,3 +80,30 @@ def test_pieces_counted_by_units(spark):
     whole = Counter(p for r in df.select(tokens.pretokens(F.col("text"))).collect() for p in r[0] or [])
     assert {r.piece: r.n for r in tokens.pretoken_counts(df, "text").collect()} == whole
     assert dict(tokens.pretoken_counts(df, "text").dtypes)["n"] == "bigint"
+
+
+ODD_PARTS = [" ", " ", "  ", "\n", "\r\n", "\t", "\xa0", "　", "a", "B", "é", "é", "the", "12", ".", "'s", "'ſ", "漢", "́", "\x85", "\x1c", "<|im_end|>"]
+
+
+def _spec():
+    rng = random.Random(7)
+    to = tokens.alphabet()
+    words = Counter("".join(to[b] for b in (rng.choice([" ", ""]) + "".join(rng.choice("thea12é.") for _ in range(rng.randint(1, 6)))).encode()) for _ in range(300))
+    return tokens.content_of(tokens.merges_of(words, 330, 2, 20))
+
+
+def _odd_texts():
+    rng = random.Random(8)
+    return ["".join(rng.choice(ODD_PARTS) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+
+
+def test_encoder_has_the_librarys_ids():
+    encoder, texts = tokens.Encoder(json.dumps(_spec())), _odd_texts()
+    wanted = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoder.by_unit and encoder.quick is not None
+    assert [e.tolist() for e in map(encoder.encode, texts)] == wanted
+    encoder.quick = None
+    assert [e.tolist() for e in map(encoder.encode, texts)] == wanted
+    asked = []
+    encoder._ids = lambda new: asked.extend(new) or [b""] * len(new)
+    assert [e.tolist() for e in map(encoder.encode, texts)] == wanted and not asked  # all units are known
