@@ -424,6 +424,11 @@ class Encoder:
         self.spaced: dict[str, bytes] = {}
         self.held = 0
         self.quick = self._quick(spec) if self.by_unit else None
+        self.bytes_of: dict[int, bytes] | None = None
+        if (spec["decoder"] or {}).get("type") == "ByteLevel":
+            to = {c: b for b, c in alphabet().items()}
+            names_of = {i: t for t, i in (*spec["model"]["vocab"].items(), *((x["content"], x["id"]) for x in added))}
+            self.bytes_of = {i: bytes(to[c] for c in t) if all(c in to for c in t) else t.encode() for i, t in names_of.items()}
 
     def _quick(self, spec: dict):
         """tiktoken's encoder of the same merges, or None. It merges any two tokens that make a third, so each
@@ -475,6 +480,12 @@ class Encoder:
             return np.frombuffer(self._joined(text), np.int32)
         return np.frombuffer(b"".join(self.added[x] if x in self.added else self._joined(x) for x in self.apart(text) if x), np.int32)
 
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        if self.bytes_of is None:
+            return self.tokenizer.decode(list(ids), skip_special_tokens=False)
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
+        return b"".join([self.bytes_of.get(i, b"") for i in ids]).decode("utf-8", "replace")
+
 
 def _encoder(content: str) -> Encoder:
     if content not in _loaded:
@@ -502,9 +513,9 @@ def decoder(spec: dict):
 
     @F.pandas_udf("string")
     def text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = _encoder(content).tokenizer
+        t = _encoder(content)
         for s in parts:
-            yield s.map(lambda x: None if x is None else t.decode(list(x), skip_special_tokens=False))
+            yield s.map(lambda x: None if x is None else t.decode(x))
 
     return text
 

@@ -107,3 +107,11 @@ def test_encoder_has_the_librarys_ids():
     asked = []
     encoder._ids = lambda new: asked.extend(new) or [b""] * len(new)
     assert [e.tolist() for e in map(encoder.encode, texts)] == wanted and not asked  # all units are known
+
+
+def test_decoder_has_the_librarys_texts():
+    encoder, rng = tokens.Encoder(json.dumps(_spec())), random.Random(9)
+    for _ in range(3000):
+        ids = [rng.randrange(340) for _ in range(rng.randint(0, 9))]
+        assert encoder.decode(np.array(ids, np.int32)) == encoder.tokenizer.decode(ids, skip_special_tokens=False)
+    assert encoder.bytes_of is not None
