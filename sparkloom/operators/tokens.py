@@ -526,18 +526,16 @@ def masked_encoder(spec: dict):
 
     @F.pandas_udf("struct<ids:array<int>,mask:array<int>>")
     def both(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        t = _encoder(content).tokenizer
+        t = _encoder(content)
         for s in parts:
             rows = []
-            every = iter(t.encode_batch([seg["text"] for segs in s if segs is not None for seg in segs], add_special_tokens=False))
             for segs in s:
-                ids: list[int] = []
-                mask: list[int] = []
+                ids = [np.empty(0, np.int32)]
+                mask = [np.empty(0, np.int32)]
                 for seg in [] if segs is None else segs:
-                    got = next(every).ids
-                    ids += got
-                    mask += [int(seg["assistant"])] * len(got)
-                rows.append((ids, mask))
+                    ids.append(t.encode(seg["text"]))
+                    mask.append(np.full(len(ids[-1]), int(seg["assistant"]), np.int32))
+                rows.append((np.concatenate(ids), np.concatenate(mask)))
             yield pd.DataFrame(rows, columns=["ids", "mask"])
 
     return both

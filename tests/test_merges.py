@@ -115,3 +115,14 @@ def test_decoder_has_the_librarys_texts():
         ids = [rng.randrange(340) for _ in range(rng.randint(0, 9))]
         assert encoder.decode(np.array(ids, np.int32)) == encoder.tokenizer.decode(ids, skip_special_tokens=False)
     assert encoder.bytes_of is not None
+
+
+def test_masked_segments_have_the_librarys_ids(spark):
+    spec, texts = _spec(), _odd_texts()[:400]
+    rows = [([(t, k % 2 == 0) for k, t in enumerate(texts[j : j + 4])],) for j in range(0, 400, 4)] + [(None,), ([],)]
+    df = spark.createDataFrame(rows, "s array<struct<text:string,assistant:boolean>>").withColumn("t", tokens.masked_encoder(spec)(F.col("s")))
+    encoder = tokens.Encoder(json.dumps(spec))
+    for r in df.collect():
+        each = [(encoder.tokenizer.encode(x["text"], add_special_tokens=False).ids, int(x["assistant"])) for x in r.s or []]
+        assert list(r.t.ids) == [i for ids, _ in each for i in ids]
+        assert list(r.t["mask"]) == [m for ids, m in each for _ in ids]
